@@ -1,0 +1,32 @@
+"""Exact quotas by random key: of each cell, the given number of rows with the smallest keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Bins of the random key: a cell of n rows is ordered only within one bin, of n / BINS rows.
+BIN_BITS = 12
+
+
+def random_key(seed: int, *columns: str):
+    """A 64-bit key from the seed and the record's own values: the same on any partitioning."""
+    return F.xxhash64(F.lit(seed), *columns)
+
+
+def take_quotas(rows: DataFrame, cells: list[str], key: list[str], quotas: DataFrame, seed: int) -> DataFrame:
+    """The rows drawn: ``quota`` of each cell (all of a smaller cell), by the smallest random keys, ties by ``key``.
+
+    ``quotas`` has one row per cell with ``quota`` (long). Cells without a quota give nothing. A cell may hold any share of
+    all rows: counts by key bin are added up before they are shuffled, whole bins are taken or left without ordering, and
+    only the bin in which the quota ends is ordered.
+    """
+    keyed = rows.withColumn("_key", random_key(seed, *key)).withColumn("_bin", F.shiftrightunsigned("_key", 64 - BIN_BITS))
+    counts = keyed.groupBy(*cells, "_bin").agg(F.count("*").alias("_n")).join(quotas.select(*cells, "quota"), cells)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*cells).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.withColumn("_before", before).filter(F.col("_before") < F.col("quota"))
+    cut = ends.groupBy(*cells).agg(F.max("_bin").alias("_last"), F.max_by("_before", "_bin").alias("_upto"), F.first("quota").alias("quota"))
+    near = keyed.join(cut, cells).filter(F.col("_bin") <= F.col("_last"))
+    order = Window.partitionBy(*cells, "_bin").orderBy(F.shiftrightunsigned("_key", 1), "_key", *key)
+    within = near.filter("_bin = _last").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col("quota") - F.col("_upto"))
+    return near.filter("_bin < _last").select(*rows.columns).unionByName(within.select(*rows.columns))
