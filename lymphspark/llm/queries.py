@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lymphspark.functions.words import letter_words
 from lymphspark.llm.distinctive import outstanding, score_terms
 from lymphspark.llm.mixing import Mixture
+from lymphspark.llm.near_duplicates import NearDuplicates
 from lymphspark.llm.sampling import TargetSample
 from lymphspark.llm.term_counts import count_terms, mark_terms, term_pairs
 from lymphspark.llm.tokenizer import encode, token_counts
@@ -89,6 +90,33 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _marked(spark, folder).select("field_name", "term", "occurrences", "n_rows")
 
 
+# 7: near-duplicate records with small edits
+
+_P7 = {COVID: "content", WELFAKE: "text"}
+
+
+def _texts(spark: SparkSession, folder: str, fields: dict[str, str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [table(spark, folder, t).select(F.lit(k).alias("field"), "row_id", F.col(f).alias("text")) for k, (t, f) in enumerate(fields.items())])
+
+
+def _named(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """The number of the field replaced by its name."""
+    names = F.array(*[F.lit(f) for f in fields.values()])
+    return df.withColumn("field_name", F.get(names, F.col("field"))).drop("field")
+
+
+def _near_duplicates(spark: SparkSession, folder: str) -> NearDuplicates:
+    return NearDuplicates(_texts(spark, folder, _P7), run=3, num=1, den=2)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _named(_near_duplicates(spark, folder).row_pairs(), _P7).select("field_name", "row_a", "row_b")
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return _named(_near_duplicates(spark, folder).groups(), _P7)
+
+
 # 8 and 9: encoding with a public tokenizer, and mixing by its tokens
 
 
@@ -113,7 +141,7 @@ def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).documents()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p5_found, p5_scores, p6_found, p6_counts, p8_ids, p9_found, p9_report, p9_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p5_found, p5_scores, p6_found, p6_counts, p7_found, p7_groups, p8_ids, p9_found, p9_report, p9_documents)}
 
 
 def _sql_words(field: str) -> str:
@@ -143,6 +171,11 @@ WITH word AS ({_sql_pairs(_P6)} UNION ALL
 stat AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT row_id) AS n_rows FROM word GROUP BY ALL),
 total AS ({_sql_totals(_P6)} UNION ALL SELECT 'terms', count(*) FROM {ARXIV})
 """
+_SQL_RUNS = " UNION ALL ".join(
+    rf"""SELECT '{f}' AS field_name, row_id, list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS runs
+    FROM (SELECT row_id, regexp_extract_all(lower({f}), '[\p{{L}}\p{{N}}]+') AS w FROM {t}) WHERE len(w) >= 3"""
+    for t, f in _P7.items()
+)
 _P1_KEYS = {FILTERED: ("major_terms", "paper_id"), COVID: ("category", "article_id"), DRUGS: ("rating", "review_id"), TWEETS: ('"5_truthfulness"', "tweet_id")}
 
 ORACLES = {
@@ -154,5 +187,11 @@ ORACLES = {
     + "SELECT field_name, row_id, term, n, occurrences, n_rows, round(n * (-log2(n_rows / all_rows) + log2(1 - exp(-occurrences / all_rows))), 6) AS score FROM tf JOIN stat USING (field_name, term) JOIN total USING (field_name)",
     "p6_found": _P6_SQL
     + "SELECT field_name, term, CASE WHEN n_rows < 3 THEN 'rare' ELSE 'common' END AS mark FROM stat JOIN total USING (field_name) WHERE n_rows < 3 OR n_rows > 0.3::DOUBLE * all_rows",
+    "p7_found": f"""
+WITH sets AS ({_SQL_RUNS}),
+item AS (SELECT field_name, row_id, len(runs) AS n, unnest(runs) AS run FROM sets),
+pair AS (SELECT a.field_name, a.row_id AS row_a, b.row_id AS row_b, count(*) AS o, any_value(a.n + b.n) AS n
+  FROM item a JOIN item b ON a.field_name = b.field_name AND a.run = b.run AND a.row_id < b.row_id GROUP BY ALL)
+SELECT field_name, row_a, row_b FROM pair WHERE 2 * o >= n - o""",
     "p6_counts": _P6_SQL + "SELECT field_name, term, occurrences, n_rows FROM stat",
 }
