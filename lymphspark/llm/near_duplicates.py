@@ -15,17 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lymphspark.llm.components import connected_components
-from lymphspark.llm.similarity import Similarity, SimilarSets, exact_pairs, whole_groups
+from lymphspark.llm.similarity import TILE, Similarity, SimilarSets, compare, exact_pairs, whole_groups
 
-_PAIR = "node_a long, node_b long, overlap int, total int"
+PAIR = "node_a long, node_b long, overlap int, total int"
 
 
 def tile_arrays(table: pa.Table):
     """Group number, own block, whether only pairs across blocks count, sizes, and elements with their rows."""
     table = table.combine_chunks()
-    tile = table.column("tile").combine_chunks()
-    i, j = tile.field("i").to_numpy(), tile.field("j").to_numpy()
-    comp = table.column("comp").to_numpy()
+    comp, i, j = (table.column(c).to_numpy() for c in ("comp", "tile_i", "tile_j"))
     new = np.ones(len(comp), bool)
     new[1:] = (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
     lists = table.column("elements").combine_chunks()
@@ -33,9 +31,9 @@ def tile_arrays(table: pa.Table):
     return np.cumsum(new), table.column("block").to_numpy(), i != j, table.column("n").to_numpy().astype(np.int64), rows, h
 
 
-def _pair_work(s: Similarity):
+def pair_work(s: Similarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ("comp", "tile")):
+        for table in whole_groups(batches):
             node = table.column("node").to_numpy()
             group, block, cross, n, rows, h = tile_arrays(table)
             for a, b, overlap in exact_pairs(group, block, cross, n, rows, h, s):
@@ -52,14 +50,14 @@ class NearDuplicates:
     with similarity 1. An empty table gives empty results. Texts of any length are taken whole.
     """
 
-    def __init__(self, texts: DataFrame, run: int = 5, num: int = 4, den: int = 5):
+    def __init__(self, texts: DataFrame, run: int = 5, num: int = 4, den: int = 5, tile: int = TILE):
         self.s = Similarity(num, den, run, other=r"[^\pL\pN]+")
-        self.sets = SimilarSets(texts, self.s, "near")
+        self.sets = SimilarSets(texts, self.s, "near", tile)
         self.members = self.sets.sets.filter("n > 0").select("field", "node", "row_id")
 
     def class_pairs(self) -> DataFrame:
         """Pairs of classes of equal sets: ``node_a``, ``node_b``, ``overlap``, ``total`` (elements that either has)."""
-        return self.sets.compare(_pair_work(self.s), _PAIR)
+        return compare(self.sets.blocked(), pair_work(self.s), PAIR)
 
     def row_pairs(self) -> DataFrame:
         """``field``, ``row_a``, ``row_b``, ``similarity`` of all pairs of rows, row_a before row_b. A class of r copies has

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lymphspark.functions.words import letter_words
 from lymphspark.llm.distinctive import outstanding, score_terms
+from lymphspark.llm.markov import MarkovClusters
 from lymphspark.llm.mixing import Mixture
 from lymphspark.llm.near_duplicates import NearDuplicates
 from lymphspark.llm.sampling import TargetSample
@@ -22,6 +23,16 @@ ARXIV, FILTERED, COVID, NEWS = "arxiv_cleansed_data", "arxiv_filtered_cleansed_d
 DRUGS, TWEETS, PITCHFORK, WELFAKE = "drugreviews_cleansed_train_data", "tweets_cleansed_mapped_data", "pitchfork_cleansed_data", "welfake_cleansed_data"
 
 
+def _texts(spark: SparkSession, folder: str, fields: dict[str, str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [table(spark, folder, t).select(F.lit(k).alias("field"), "row_id", F.col(f).alias("text")) for k, (t, f) in enumerate(fields.items())])
+
+
+def _named(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """The number of the field replaced by its name."""
+    names = F.array(*[F.lit(f) for f in fields.values()])
+    return df.withColumn("field_name", F.get(names, F.col("field"))).drop("field")
+
+
 # 1: sample matching target category proportions
 
 
@@ -48,6 +59,28 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
     return _target_sample(spark, folder).sample()
 
 
+# 4: grouping records into similarity clusters
+
+_P4 = {FILTERED: "abstracts", PITCHFORK: "review", TWEETS: "tweet"}
+
+
+def _clusters(spark: SparkSession, folder: str) -> MarkovClusters:
+    return MarkovClusters(_texts(spark, folder, _P4))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _clusters(spark, folder).rows().filter("group_rows >= 3")
+    return _named(rows, _P4).select("field_name", "row_id", F.col("group_row").alias("cluster_row_id"))
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _named(_clusters(spark, folder).rows(), _P4)
+
+
+def p4_typical(spark: SparkSession, folder: str) -> DataFrame:
+    return _named(_clusters(spark, folder).typical(), _P4)
+
+
 # 5 and 6: distinctive terms, and the frequency of every term
 
 
@@ -95,16 +128,6 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
 _P7 = {COVID: "content", WELFAKE: "text"}
 
 
-def _texts(spark: SparkSession, folder: str, fields: dict[str, str]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [table(spark, folder, t).select(F.lit(k).alias("field"), "row_id", F.col(f).alias("text")) for k, (t, f) in enumerate(fields.items())])
-
-
-def _named(df: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """The number of the field replaced by its name."""
-    names = F.array(*[F.lit(f) for f in fields.values()])
-    return df.withColumn("field_name", F.get(names, F.col("field"))).drop("field")
-
-
 def _near_duplicates(spark: SparkSession, folder: str) -> NearDuplicates:
     return NearDuplicates(_texts(spark, folder, _P7), run=3, num=1, den=2)
 
@@ -141,7 +164,7 @@ def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).documents()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p5_found, p5_scores, p6_found, p6_counts, p7_found, p7_groups, p8_ids, p9_found, p9_report, p9_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_clusters, p4_typical, p5_found, p5_scores, p6_found, p6_counts, p7_found, p7_groups, p8_ids, p9_found, p9_report, p9_documents)}
 
 
 def _sql_words(field: str) -> str:
@@ -157,6 +180,7 @@ def _sql_totals(fields: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{f}' AS field_name, count(*) AS all_rows FROM {t}" for t, f in fields.items())
 
 
+_SQL_P4 = " UNION ALL ".join(f"SELECT '{f}' AS field_name, row_id, list_distinct({_sql_words(f)}) AS ws FROM {t} WHERE {f} IS NOT NULL" for t, f in _P4.items())
 _P5 = {FILTERED: "abstracts", NEWS: "headline", COVID: "content"}
 _P5_SQL = f"""
 WITH word AS ({_sql_pairs(_P5)}),
@@ -187,6 +211,18 @@ ORACLES = {
     + "SELECT field_name, row_id, term, n, occurrences, n_rows, round(n * (-log2(n_rows / all_rows) + log2(1 - exp(-occurrences / all_rows))), 6) AS score FROM tf JOIN stat USING (field_name, term) JOIN total USING (field_name)",
     "p6_found": _P6_SQL
     + "SELECT field_name, term, CASE WHEN n_rows < 3 THEN 'rare' ELSE 'common' END AS mark FROM stat JOIN total USING (field_name) WHERE n_rows < 3 OR n_rows > 0.3::DOUBLE * all_rows",
+    # Every similar pair by its shared words, then the least row that is reached from each row.
+    "p4_found": f"""
+WITH RECURSIVE sets AS ({_SQL_P4}),
+item AS (SELECT field_name, row_id, len(ws) AS n, unnest(ws) AS w FROM sets),
+pair AS (SELECT a.field_name, a.row_id AS x, b.row_id AS y, count(*) AS o, any_value(a.n + b.n) AS n
+  FROM item a JOIN item b ON a.field_name = b.field_name AND a.w = b.w AND a.row_id < b.row_id AND a.n * 5 >= b.n * 3 AND b.n * 5 >= a.n * 3 GROUP BY ALL),
+edge AS (SELECT field_name, x, y FROM pair WHERE 5 * o >= 3 * (n - o)),
+arc AS (SELECT * FROM edge UNION ALL SELECT field_name, y, x FROM edge),
+reach AS (SELECT field_name, x AS row_id, x AS r FROM arc UNION SELECT field_name, y, y FROM arc
+  UNION SELECT reach.field_name, arc.y, reach.r FROM reach JOIN arc ON reach.field_name = arc.field_name AND reach.row_id = arc.x AND reach.r < arc.y),
+least AS (SELECT field_name, row_id, min(r) AS cluster_row_id FROM reach GROUP BY ALL)
+SELECT field_name, row_id, cluster_row_id FROM least QUALIFY count(*) OVER (PARTITION BY field_name, cluster_row_id) >= 3""",
     "p7_found": f"""
 WITH sets AS ({_SQL_RUNS}),
 item AS (SELECT field_name, row_id, len(runs) AS n, unnest(runs) AS run FROM sets),

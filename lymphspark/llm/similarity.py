@@ -410,21 +410,24 @@ def _row_filter(rows: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _block_tiles(nodes: DataFrame) -> DataFrame:
-    """Adds ``tile`` (and the own ``block``): components of more than TILE sets are cut into blocks, and each set goes to the tiles of
-    its block with every other."""
-    sizes = nodes.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > TILE).withColumn("blocks", F.ceil(F.col("size") * 2 / TILE).cast("int"))
-    with_blocks = nodes.join(sizes.select("comp", "blocks"), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def block_counts(nodes: DataFrame, most: int) -> DataFrame:
+    """Adds ``blocks``: 1 for components of up to ``most`` sets, else as many blocks as hold half of that each."""
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > most).withColumn("blocks", F.ceil(F.col("size") * 2 / most).cast("int"))
+    return nodes.join(sizes.select("comp", "blocks"), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def block_tiles(with_blocks: DataFrame) -> DataFrame:
+    """Adds ``tile_i``, ``tile_j`` and the own ``block``: each set of a component goes to the tiles of its block with every other block."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = with_blocks.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("tile", F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))).drop("other")
+    return spread.withColumn("tile_i", F.least("block", "other")).withColumn("tile_j", F.greatest("block", "other")).drop("other")
 
 
 class SimilarSets:
     """The components of similar sets and what is exactly similar in them. ``texts`` has ``field`` (int), ``row_id``, ``text``."""
 
-    def __init__(self, texts: DataFrame, s: Similarity, name: str = "similar"):
-        self.s, self.spark = s, texts.sparkSession
+    def __init__(self, texts: DataFrame, s: Similarity, name: str = "similar", tile: int = TILE):
+        self.s, self.spark, self.tile = s, texts.sparkSession, tile
         self.stage = Stage(self.spark, name)
         self.sets = self.stage.write(make_sets(texts, s), "sets")
         self.classes = self.sets.filter("n > 0").groupBy("node").agg(F.min("row_id").alias("first_row"), F.min("rid").alias("rid"), F.count("*").alias("copies"))
@@ -458,14 +461,17 @@ class SimilarSets:
         own = self.classes.select("node", "rid", "first_row", "copies")
         return near.join(comps.select(F.col("node").alias("rid"), F.col("root").alias("comp")), "rid").join(own, ["node", "rid"])
 
-    def compare(self, work: Callable, schema: str, columns: tuple[str, ...] = ("comp", "node", "first_row", "copies", "n", "elements")) -> DataFrame:
-        """Runs ``work`` (on Arrow batches of whole tiles, sorted by tile) over the sets of all components, tile by tile."""
-        tiles = _block_tiles(self.nodes)
-        sorted_ = tiles.repartition("comp", "tile").sortWithinPartitions("comp", "tile", "node")
-        return sorted_.select("tile", "block", *columns).mapInArrow(work, schema)
+    def blocked(self) -> DataFrame:
+        return block_counts(self.nodes, self.tile)
+
+
+def compare(with_blocks: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """Runs ``work`` on Arrow batches of the sets of all components, sorted by component and tile."""
+    sorted_ = block_tiles(with_blocks).repartition("comp", "tile_i", "tile_j").sortWithinPartitions("comp", "tile_i", "tile_j", "first_row", "node")
+    return sorted_.select("tile_i", "tile_j", "block", "comp", "node", "first_row", "copies", "n", "elements").mapInArrow(work, schema)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int = 8192) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("comp", "tile_i", "tile_j"), most: int = 8192) -> Iterator[pa.Table]:
     """Regroups sorted batches so that rows that agree in ``columns`` stay together; about ``most`` rows at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
