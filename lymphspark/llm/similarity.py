@@ -15,8 +15,6 @@ what is left out of the prefixes.
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,6 +174,12 @@ def bitmaps(rows: np.ndarray, h: np.ndarray, count: int, words: int) -> np.ndarr
     return out
 
 
+def bitmap_words(mean: float) -> int:
+    """Words of a field's bitmaps, by its mean set. Fewer let sets pass that have nothing in common, and so join components
+    that the exact comparison then has to take apart; the result is the same."""
+    return min(max(2, ceil(mean / 20)), 8)
+
+
 def _unpack(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     lists = batch.column(batch.schema.get_field_index(name))
     return pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy().view(np.uint64)
@@ -214,19 +219,16 @@ def _from_planes(data: memoryview, dtype, count: int) -> np.ndarray:
 
 
 def pack(key: np.ndarray, rid: np.ndarray, n: np.ndarray, sig: np.ndarray) -> bytes:
-    """Postings sorted by key as one blob: numbers are written by byte planes and compressed lightly."""
-    step = np.diff(key, prepend=np.uint32(0))
-    body = b"".join((_planes(step), _planes(rid), _planes(n.astype(np.uint32))))
-    body = zlib.compress(body, 1)
-    return b"".join((np.array([len(key), sig.shape[1], len(body)], np.int64).tobytes(), body, sig.tobytes()))
+    """Postings sorted by key as one blob: numbers are written by byte planes, and all is compressed lightly."""
+    body = b"".join((_planes(np.diff(key, prepend=np.uint32(0))), _planes(rid), _planes(n.astype(np.uint32)), sig.tobytes()))
+    return np.array([len(key), sig.shape[1]], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    count, words, size = np.frombuffer(blob, np.int64, 3)
-    body = memoryview(zlib.decompress(blob[24 : 24 + size]))
-    step, rid, n = _from_planes(body[: 4 * count], np.uint32, count), _from_planes(body[4 * count : 12 * count], np.int64, count), _from_planes(body[12 * count :], np.uint32, count)
-    sig = np.frombuffer(blob, np.uint64, count * words, offset=24 + int(size)).reshape(count, words)
-    return np.cumsum(step, dtype=np.uint32), rid, n.astype(np.int64), sig
+    count, words = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    body = memoryview(zstandard.ZstdDecompressor().decompress(blob[16:]))
+    step, rid, n = _from_planes(body, np.uint32, count), _from_planes(body[4 * count :], np.int64, count), _from_planes(body[12 * count :], np.uint32, count)
+    return np.cumsum(step, dtype=np.uint32), rid, n.astype(np.int64), np.frombuffer(body, np.uint64, count * words, offset=16 * count).reshape(count, words)
 
 
 def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int]) -> Callable:
@@ -437,7 +439,7 @@ class SimilarSets:
         spark, s = self.spark, self.s
         means = self.sets.groupBy("field").agg(F.avg("n").alias("mean"), F.sum("n").alias("total")).collect()
         parts = {r.field: max(spark.sparkContext.defaultParallelism, ceil(r.total / PART)) for r in means}
-        words = {r.field: 1 if (r.mean or 0) <= 24 else 2 if r.mean <= 60 else 4 for r in means}
+        words = {r.field: bitmap_words(r.mean or 0) for r in means}
         known = spark.sparkContext.broadcast(estimate(self.sets, s))
         blobs = self.sets.select("field", "rid", "node", "n", "elements").mapInArrow(_poster(s, known, parts, words), "part long, blob binary")
         spread = blobs.repartition(max(sum(parts.values()) // 2, 1), "part").sortWithinPartitions("part")
