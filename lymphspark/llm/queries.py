@@ -15,6 +15,7 @@ from lymphspark.llm.near_duplicates import NearDuplicates
 from lymphspark.llm.sampling import TargetSample
 from lymphspark.llm.term_counts import count_terms, mark_terms, term_pairs
 from lymphspark.llm.tokenizer import encode, token_counts
+from lymphspark.llm.truncation import Truncation
 from lymphspark.operators.packed_values import split_values
 from lymphspark.queries.general import SQL_VALUES
 from lymphspark.session import table
@@ -164,7 +165,22 @@ def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).documents()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_clusters, p4_typical, p5_found, p5_scores, p6_found, p6_counts, p7_found, p7_groups, p8_ids, p9_found, p9_report, p9_documents)}
+# 10: text cut off by field limits
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return Truncation(table(spark, folder, "documents")).found()
+
+
+def p10_judged(spark: SparkSession, folder: str) -> DataFrame:
+    return Truncation(table(spark, folder, "documents")).judged()
+
+
+def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return Truncation(table(spark, folder, "documents")).by_source()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_clusters, p4_typical, p5_found, p5_scores, p6_found, p6_counts, p7_found, p7_groups, p8_ids, p9_found, p9_report, p9_documents, p10_found, p10_judged, p10_sources)}
 
 
 def _sql_words(field: str) -> str:
