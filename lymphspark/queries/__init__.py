@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("general",)
+MODULES = ("general", "text")
 
 
 def _gather(what: str) -> dict:
@@ -23,3 +23,7 @@ def all_queries() -> dict:
 
 def all_oracles() -> dict:
     return _gather("ORACLES")
+
+
+def flagship(spark, folder: str):
+    return importlib.import_module(f"{__name__}.text").flagship(spark, folder)
