@@ -50,13 +50,16 @@ def pairs_in_runs(pos: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.nda
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The components of the links a-b: every node, and the least node of its component."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
+    return nodes, nodes[join(np.arange(len(nodes)), at[: len(a)], at[len(a) :])]
+
+
+def join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of components by their least member, those that arise when x and y (as indices) are linked as well."""
     while True:
         lx, ly = label[x], label[y]
         open_ = lx != ly
         if not open_.any():
-            return nodes, nodes[label]
+            return label
         x, y = x[open_], y[open_]
         low, high = np.minimum(lx, ly)[open_], np.maximum(lx, ly)[open_]
         np.minimum.at(label, high, low)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lymphspark.llm.components import connected_components
-from lymphspark.llm.numeric import forest, mix, pairs_in_runs, position_in_run, run_starts
+from lymphspark.llm.numeric import forest, join, mix, pairs_in_runs, position_in_run, run_starts
 from lymphspark.session import Stage
 
 _U = np.uint64
@@ -38,7 +38,7 @@ BUCKETS = 1 << 17
 #: Postings of one tile part, about; and of one key, beyond which its postings are cut into tiles of block pairs.
 PART, BLOCK = 1 << 20, 1 << 20
 #: Runs of a key up to this size are compared pair by pair, larger ones as blocks.
-SMALL_RUN, OUTER = 48, 1024
+SMALL_RUN, OUTER, STARS = 64, 128, 4
 #: Sets of a component that one task compares; larger components are cut into tiles of block pairs.
 TILE = 2048
 #: Bits of the hashed row filter (2 MB broadcast, whatever the input).
@@ -301,57 +301,63 @@ def _compare_runs(key: np.ndarray, n: np.ndarray, sig: np.ndarray, s: Similarity
 
     Rows are sorted by key, size and bitmap. A pair is left out only if its two ends are linked through others.
     """
+    far = s.most_apart(np.arange(2 * int(n.max(initial=0)) + 1)).astype(np.int32)
+    n = n.astype(np.int32)
     starts = run_starts(key)
     sizes = np.diff(np.append(starts, len(key)))
     pos = position_in_run(starts, len(key))
-    pos_small = np.where(np.repeat(sizes, sizes) <= SMALL_RUN, pos, 0)
-    for i, j in pairs_in_runs(pos_small):
-        far = s.most_apart(n[i] + n[j])
-        near = n[i] - n[j] <= far
-        i, j, far = i[near], j[near], far[near]
-        apart = np.zeros(len(i), np.int64)
+    for i, j in pairs_in_runs(np.where(np.repeat(sizes, sizes) <= SMALL_RUN, pos, 0)):
+        least = far[n[i] + n[j]]
         for w in range(sig.shape[1]):
-            apart += np.bitwise_count(sig[i, w] ^ sig[j, w])
-        ok = apart <= far
-        yield i[ok], j[ok]
-    for a, k in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN]):
-        yield from _compare_block(int(a), n[a : a + k], sig[a : a + k], s)
-
-
-def _near(n1, sig1, n2, sig2, s: Similarity) -> np.ndarray:
-    total = n1[:, None] + n2[None, :]
-    apart = np.zeros(total.shape, np.uint16)
-    for w in range(sig1.shape[1]):
-        apart += np.bitwise_count(sig1[:, w][:, None] ^ sig2[:, w][None, :])
-    far = s.most_apart(total)
-    return (apart <= far) & (np.abs(n1[:, None] - n2[None, :]) <= far)
-
-
-def _compare_block(base: int, n: np.ndarray, sig: np.ndarray, s: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            apart = np.bitwise_count(sig[i, w] ^ sig[j, w])
+            least = least - apart
+            ok = least >= 0
+            i, j, least = i[ok], j[ok], least[ok]
+        yield i, j
+    columns = [np.ascontiguousarray(sig[:, w]) for w in range(sig.shape[1])]
+    for a, k in zip(starts[sizes > SMALL_RUN].tolist(), sizes[sizes > SMALL_RUN].tolist()):
+        for i, j in _compare_block(n[a : a + k], [c[a : a + k] for c in columns], far):
+            yield a + i, a + j
+
+
+def _near(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, sig: list[np.ndarray], far: np.ndarray) -> np.ndarray:
+    """Which of rows and cols (as indices) the bitmaps do not rule out as a pair."""
+    apart = np.bitwise_count(sig[0][rows][:, None] ^ sig[0][cols])
+    wide = apart if len(sig) <= 3 else apart.astype(np.uint16)
+    for c in sig[1:]:
+        wide += np.bitwise_count(c[rows][:, None] ^ c[cols])
+    return wide <= far.take(np.add.outer(n[rows], n[cols]))
+
+
+def _compare_block(n: np.ndarray, sig: list[np.ndarray], far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A large run: sets near one pivot are linked to it and not compared with each other, then only across pivots."""
-    star = np.full(len(n), -1)
-    left = np.arange(len(n))
-    for k in range(4):
+    left, stars = np.arange(len(n)), []
+    for _ in range(STARS):
         if len(left) < 2:
             break
         pivot = left[len(left) // 2]
-        near = _near(n[[pivot]], sig[[pivot]], n[left], sig[left], s)[0]
-        star[left[near]] = k
-        yield np.full(int(near.sum()), base + pivot), base + left[near]
+        near = _near(left[len(left) // 2 : len(left) // 2 + 1], left, n, sig, far)[0]
+        yield np.full(int(near.sum()), pivot), left[near]
+        stars.append(left[near])
         left = left[~near]
-    # Rows of one star are together and never compared; those of none follow, and are compared with all before them.
-    order = np.concatenate([np.flatnonzero(star == k) for k in range(4)] + [left]).astype(np.int64)
-    group = star[order]
-    for lo in range(0, len(order), OUTER):
-        rows = order[lo : lo + OUTER]
-        for lo2 in range(0, lo + 1, OUTER):
-            cols = order[lo2 : lo2 + OUTER]
-            if group[lo] >= 0 and group[lo2] == group[lo : lo + OUTER][-1]:
-                continue
-            i, j = np.nonzero(_near(n[rows], sig[rows], n[cols], sig[cols], s))
-            i, j = rows[i], cols[j]
-            use = (i != j) & ((star[i] < 0) | (star[i] != star[j]))
-            yield base + i[use], base + j[use]
+    # Each star against all that come later, then the rest among itself.
+    for k, star in enumerate(stars):
+        later = np.concatenate([*stars[k + 1 :], left])
+        yield from _across(star, later, n, sig, far)
+    for lo in range(0, len(left), OUTER):
+        rows = left[lo : lo + OUTER]
+        if lo:
+            yield from _across(rows, left[:lo], n, sig, far)
+        i, j = np.nonzero(np.tril(_near(rows, rows, n, sig, far), -1))
+        yield rows[i], rows[j]
+
+
+def _across(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, sig: list[np.ndarray], far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for lo in range(0, len(rows), 256):
+        for lo2 in range(0, len(cols), 2048):
+            a, b = rows[lo : lo + 256], cols[lo2 : lo2 + 2048]
+            i, j = np.nonzero(_near(a, b, n, sig, far))
+            yield a[i], b[j]
 
 
 def _tiles(s: Similarity) -> Callable:
@@ -362,15 +368,20 @@ def _tiles(s: Similarity) -> Callable:
         order = np.lexsort((sig[:, 0], n, key))
         key, rid, n, sig = key[order], rid[order], n[order], sig[order]
         # Postings that agree in key, size and bitmap are linked and compared as one.
+        ids, at = np.unique(rid, return_inverse=True)
         own = run_starts(key, n, *sig.T)
-        lead = np.repeat(own, np.diff(np.append(own, len(key))))
-        a, b = [rid], [rid[lead]]
-        key, rid, n, sig = key[own], rid[own], n[own], sig[own]
-        for i, j in _compare_runs(key, n, sig, s):
-            a.append(rid[i])
-            b.append(rid[j])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return a[a != b], b[a != b]
+        label = join(np.arange(len(ids)), at, at[np.repeat(own, np.diff(np.append(own, len(key))))])
+        at, held, size = at[own], [], 0
+        for i, j in _compare_runs(key[own], n[own], sig[own], s):
+            held.append((at[i], at[j]))
+            size += len(i)
+            if size > 1 << 20:
+                label = join(label, *map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            label = join(label, *map(np.concatenate, zip(*held)))
+        linked = label != np.arange(len(ids))
+        return ids[linked], ids[label[linked]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
