@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("general", "text")
+MODULES = ("general", "text", "tables")
 
 
 def _gather(what: str) -> dict:
