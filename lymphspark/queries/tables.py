@@ -269,7 +269,7 @@ _TAG = f"""CASE WHEN regexp_matches(w, '^[0-9]+$') THEN 'NUM' WHEN w IN ('the','
   WHEN w IN ('and','or','but') THEN 'CCONJ' WHEN w IN ('in','on','at','of','for','to','with','by','from') THEN 'ADP' WHEN w IN ('is','are','was','were','be','has','have') THEN 'AUX'
   WHEN regexp_matches(w, 'ly$') THEN 'ADV' WHEN regexp_matches(w, '(ed|ing|ise|ize)$') THEN 'VERB' WHEN regexp_matches(w, '(ful|ous|ive|al|ic|less)$') THEN 'ADJ' ELSE 'NOUN' END"""
 _HEAD = f"SELECT row_id, coalesce({_SPLIT(Sql.for_tokens('headline'))}, []) AS t FROM {NEWS}"
-_LIST = rf"SELECT row_id, list_transform(regexp_extract_all(terms, '''[^'']*''|"[^"]*"'), lambda x: x[2:len(x) - 1]) AS ts FROM {ARXIV} WHERE regexp_matches(terms, '^\[''.*''\]$')"
+_LIST = rf"""SELECT row_id, list_transform(regexp_extract_all(terms, '''[^'']*''|"[^"]*"'), lambda x: x[2:len(x) - 1]) AS ts FROM {ARXIV} WHERE regexp_matches(terms, '^\[''.*''\]$')"""
 _LINES = "(VALUES " + ", ".join(f"({k}, {_q(line)})" for k, line in enumerate(NORM_LINES)) + ") AS l(line_no, line)"
 _VALS = ", ".join([f"coalesce(try_cast(trim(substr(line, {a + 1}, {b - a})) AS INTEGER), 0)" for _, a, b in lexicon.FIELDS] + [f"CASE WHEN substr(line, {lexicon.FLAG_AT + 1}, 1) = 'Q' THEN 1 ELSE 0 END"] + [f"CASE WHEN upper(substr(line, {at + 1}, 1)) = {_q(c)} THEN 1 ELSE 0 END" for at, codes in lexicon.CODES for c, _ in codes])
 _NORMS = f"norm AS (SELECT word, wtype, arg_max(vals, line_no) AS vals FROM (SELECT line_no, lower(trim(split_part(substr(line, {lexicon.WORD_AT + 1}), '|', 1))) AS word, substr(line, {lexicon.TYPE_AT + 1}, 1) AS wtype, [{_VALS}] AS vals FROM {_LINES}) GROUP BY ALL)"
