@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("general", "text", "tables", "measures", "network")
+MODULES = ("general", "text", "tables", "measures", "network", "plans")
 
 
 def _gather(what: str) -> dict:
