@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lymphspark.llm.quota import take_quotas
+from lymphspark.operators.quota import random_key, take_quotas
 from lymphspark.session import Stage
 
 #: The knapsack's table has this many entries; a larger rest is first brought down by whole lengths.
@@ -120,6 +120,6 @@ class Mixture:
         """``mix_name``, ``source``, ``doc_id``, ``n_tokens``, ``repeats`` of every document that is used."""
         cells = ["mix_name", "source", "n_tokens"]
         rows = self.sizes.join(self.targets.select("mix_name", "source"), "source").select(*cells, "doc_id")
-        extra = take_quotas(rows, cells, ["doc_id"], self.fitted.filter("quota > 0").select(*cells, "quota"), self.seed).withColumn("repeats", F.lit(1).cast("long"))
+        extra = take_quotas(rows, cells, random_key(self.seed, "doc_id"), ["doc_id"], self.fitted.filter("quota > 0").select(*cells, "quota")).withColumn("repeats", F.lit(1).cast("long"))
         whole = rows.join(self.fitted.filter("passes > 0").select(*cells, "passes"), cells).withColumnRenamed("passes", "repeats")
         return whole.unionByName(extra).groupBy("mix_name", "source", "doc_id", "n_tokens").agg(F.sum("repeats").alias("repeats"))

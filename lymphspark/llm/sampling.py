@@ -15,7 +15,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lymphspark.llm.quota import take_quotas
+from lymphspark.operators.quota import random_key, take_quotas
 from lymphspark.session import Stage
 
 #: The targets, and the cells of a target's category and a stratum, are handled at the driver; more are refused.
@@ -203,7 +203,7 @@ class TargetSample:
 
     def sample(self) -> DataFrame:
         """``target_set``, ``category_value``, ``stratum``, ``key`` of the records drawn."""
-        return take_quotas(self.records, ["target_set", "category_value", "stratum"], ["key"], self.quotas, self.seed)
+        return take_quotas(self.records, ["target_set", "category_value", "stratum"], random_key(self.seed, "key"), ["key"], self.quotas)
 
     def report(self) -> DataFrame:
         """One row per target: what there is, what was drawn and its share, and whether the target can be met."""
