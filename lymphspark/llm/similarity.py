@@ -148,9 +148,10 @@ def _set_maker(s: Similarity) -> Callable:
 def make_sets(texts: DataFrame, s: Similarity) -> DataFrame:
     """``field`` (int), ``row_id``, ``rid``, ``node``, ``n``, ``elements`` from ``field``, ``row_id``, ``text``.
 
-    ``node`` is a 64-bit hash of field and set: rows with equal sets share it. Null and empty texts have an empty set.
+    ``node`` is a 64-bit hash of field and set: rows with equal sets share it. Null and empty texts have an empty set. Rows
+    without a row_id are left out.
     """
-    chosen = texts.select(F.col("field").cast("int"), F.col("row_id").cast("long"), F.monotonically_increasing_id().alias("rid"), F.lower(F.col("text")).alias("text"))
+    chosen = texts.filter("row_id is not null").select(F.col("field").cast("int"), F.col("row_id").cast("long"), F.monotonically_increasing_id().alias("rid"), F.lower(F.col("text")).alias("text"))
     return chosen.mapInArrow(_set_maker(s), "field int, row_id long, rid long, node long, n int, elements array<long>")
 
 

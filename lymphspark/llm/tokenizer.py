@@ -199,9 +199,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def token_counts(df: DataFrame, text_col: str, path: str | None = None, batch: int = 512) -> DataFrame:
-    """All columns of ``df`` but the text, and ``n_tokens`` (long). Null and empty texts have 0."""
+    """All columns of ``df`` but the text, and ``n_tokens`` (long), which replaces one of that name. Null and empty texts have 0."""
     shared = _shared_vocabulary(df.sparkSession, path or tokenizer_file())
-    rest = [c for c in df.columns if c != text_col]
+    rest = [c for c in df.columns if c not in (text_col, "n_tokens")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -212,4 +212,4 @@ def token_counts(df: DataFrame, text_col: str, path: str | None = None, batch: i
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n, pa.int64())], names=[*rest, "n_tokens"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
-    return df.select(F.col(text_col).cast("string"), *rest).mapInArrow(run, f"{schema}, n_tokens long")
+    return df.select(F.col(f"`{text_col}`").cast("string"), *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, f"{schema}, n_tokens long")
