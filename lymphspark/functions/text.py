@@ -7,6 +7,7 @@ Unicode text, not only for ASCII.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -40,13 +41,24 @@ def ascii_table(fold_case: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]
     return "".join(single), "".join(made), tuple(several)
 
 
+def _where(c: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """``change`` applied to texts that have the pattern. The text is computed once, however often ``change`` names it."""
+    return F.get(F.transform(F.array(c), lambda x: F.when(x.rlike(pattern), change(x)).otherwise(x)), F.lit(0))
+
+
 def _to_ascii(c: Column, fold_case: bool) -> Column:
     single, made, several = ascii_table(fold_case)
-    out = c
-    for char, text in several:
-        out = F.replace(out, F.lit(char), F.lit(text))
-    out = F.regexp_replace(F.translate(out, single, made), r"[^\x00-\x7f]", "")
-    return F.when(c.rlike(r"[^\x00-\x7f]"), out).otherwise(c)
+
+    def spell(x: Column) -> Column:
+        for char, text in several:
+            x = F.replace(x, F.lit(char), F.lit(text))
+        return x
+
+    def fold(x: Column) -> Column:
+        spelled = _where(x, "[" + "".join(c for c, _ in several) + "]", spell)
+        return F.regexp_replace(F.translate(spelled, single, made), r"[^\x00-\x7f]", "")
+
+    return _where(c, r"[^\x00-\x7f]", fold)
 
 
 def casefold(c: Column) -> Column:
@@ -73,7 +85,7 @@ SPECIAL = rf"(\\+[A-RT-Za-rt-z]?|<[{SPACE}]*/?[{SPACE}]*[{WORD}]*[{SPACE}]*/[{SP
 
 
 def remove_special_chars(c: Column) -> Column:
-    return collapse_spaces(F.regexp_replace(c, SPECIAL, " "))
+    return collapse_spaces(_where(c, r"[\\<]", lambda x: F.regexp_replace(x, SPECIAL, " ")))
 
 
 def remove_punctuations(c: Column) -> Column:
@@ -94,7 +106,7 @@ def remove_all_spaces(c: Column) -> Column:
 
 def split_contractions(c: Column) -> Column:
     """A quotation mark between a word and up to three letters parts them: ``don't`` becomes ``don 't``."""
-    return F.regexp_replace(c, f"([{WORD}]+)([{QUOTES}]+)([{WORD}]{{1,3}})", "$1 '$3")
+    return _where(c, f"[{QUOTES}]", lambda x: F.regexp_replace(x, f"([{WORD}]+)([{QUOTES}]+)([{WORD}]{{1,3}})", "$1 '$3"))
 
 
 def single_quotes(c: Column) -> Column:
@@ -111,9 +123,12 @@ QUOTATION_RULES = (
 
 
 def strip_quotations(c: Column) -> Column:
-    for pattern, to in QUOTATION_RULES:
-        c = F.regexp_replace(c, pattern, to)
-    return collapse_spaces(c)
+    def rules(x: Column) -> Column:
+        for pattern, to in QUOTATION_RULES:
+            x = F.regexp_replace(x, pattern, to)
+        return x
+
+    return collapse_spaces(_where(c, f"[{QUOTES}]", rules))
 
 
 def normalize_text(c: Column) -> Column:
