@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lymphspark.session import ship_package
+
 
 def term_pairs(df: DataFrame, id_col: str, terms: Column, field_name: str) -> DataFrame:
     """(field_name, term, record, n) with n the occurrences in the record: added up before anything is shuffled.
@@ -22,6 +24,7 @@ def term_pairs(df: DataFrame, id_col: str, terms: Column, field_name: str) -> Da
     ``terms`` is an array column. Rows without terms or without an id give nothing; rows that share an id are one record to
     count_terms(), and records apart to what only adds up pairs.
     """
+    ship_package(df.sparkSession)
     each = df.select(F.col(id_col).alias("record"), F.array_sort(terms).alias("ts")).filter((F.size("ts") > 0) & F.col("record").isNotNull())
     return each.mapInArrow(_count_within, f"field_name string, term string, record {df.schema[id_col].dataType.simpleString()}, n long").withColumn("field_name", F.lit(field_name))
 

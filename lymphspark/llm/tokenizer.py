@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lymphspark.session import ship_package
+
 #: A fixed value: the pre-tokenization pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of more bytes are merged one by one by a heap, as a round merges one kind of pair in a word.
@@ -173,6 +175,7 @@ class Encoder:
 
 
 def _shared_vocabulary(spark: SparkSession, path: str):
+    ship_package(spark)
     return spark.sparkContext.broadcast(load_vocabulary(path))
 
 
