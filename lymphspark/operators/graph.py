@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lymphspark.operators.vectors import over_blocks
+from lymphspark.operators.vectors import distances, over_blocks
 from lymphspark.session import Stage
 
 #: Nodes of a spanning forest: labels and tree edges of so many fit the driver; the pairs never come there.
@@ -117,3 +117,48 @@ def component_labels(nodes: DataFrame, edges: DataFrame, distinct_singletons: bo
     # One row per component; the numbering is over components, not over nodes.
     numbered = size.select("root", F.coalesce(F.sum(counted).over(before), F.lit(0)).cast("long").alias("label"))
     return roots.join(numbered, "root").select("node", "label")
+
+
+#: Rows whose full distance matrix the driver holds for agglomeration.
+MAX_AGGLOMERATED = 5_000
+
+
+def agglomerate(vectors: DataFrame, metric: str, threshold: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Average-linkage clusters, merged while the nearest two are below the threshold; only along ``links`` (u, v) if given.
+
+    Returns ``id``, ``cluster`` (the least id in it) and the merges: ``step``, ``a``, ``b``, ``d``, ``size``. Ties go to the
+    lower ids. The method needs all distances at once, so more than MAX_AGGLOMERATED rows are refused.
+    """
+    rows = vectors.select("id", "v").limit(MAX_AGGLOMERATED + 1).toPandas().sort_values("id")
+    if len(rows) > MAX_AGGLOMERATED:
+        raise ValueError(f"over {MAX_AGGLOMERATED} rows")
+    spark, ids = vectors.sparkSession, rows.id.to_numpy()
+    n = len(ids)
+    if not n:
+        return spark.createDataFrame([], "id long, cluster long"), spark.createDataFrame([], "step long, a long, b long, d double, size long")
+    stacked = np.stack(rows.v.to_numpy())
+    mean = np.round(distances(stacked, stacked, metric, same=True), 9)
+    joined = np.ones((n, n), bool)
+    if links is not None:
+        place = {int(i): k for k, i in enumerate(ids)}
+        joined[:] = False
+        for e in links.select("u", "v").collect():
+            joined[place[e.u], place[e.v]] = joined[place[e.v], place[e.u]] = True
+    np.fill_diagonal(joined, False)
+    size, own, merges = np.ones(n), np.arange(n), []
+    while True:
+        open_ = np.where(np.triu(joined, 1), mean, np.inf)
+        k = int(open_.argmin())
+        a, b = divmod(k, n)
+        if not open_[a, b] < threshold:
+            break
+        merges.append((len(merges), int(ids[a]), int(ids[b]), float(open_[a, b]), int(size[a] + size[b])))
+        mean[a] = mean[:, a] = (mean[a] * size[a] + mean[b] * size[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        joined[a] |= joined[b]
+        joined[:, a] = joined[a]
+        joined[b] = joined[:, b] = False
+        joined[a, a] = False
+        own[own == b] = a
+    clusters = spark.createDataFrame([(int(i), int(ids[c])) for i, c in zip(ids, own)], "id long, cluster long")
+    return clusters, spark.createDataFrame(merges, "step long, a long, b long, d double, size long")

@@ -106,9 +106,9 @@ def davies_bouldin_centroid(vectors: DataFrame, metric: str, guarded: bool = Fal
     """One row ``value``: with the mean distance to the centroid as spread, and centroid distances. ``guarded``: a centroid
     distance of 0 gives 0, and so do spreads that are all 0. Clusters are few, so their pairs are made."""
     c = centroids(vectors)
-    spread = vectors.join(F.broadcast(c), "label").groupBy("label").agg(F.avg(_distance(F.col("v"), F.col("c"), metric)).alias("s"))
+    spread = vectors.join(c, "label").groupBy("label").agg(F.avg(_distance(F.col("v"), F.col("c"), metric)).alias("s"))
     own = c.join(spread, "label")
-    two = own.toDF("li", "ci", "si").crossJoin(F.broadcast(own.toDF("lj", "cj", "sj"))).filter("li <> lj")
+    two = own.toDF("li", "ci", "si").crossJoin(own.toDF("lj", "cj", "sj")).filter("li <> lj")
     d = _distance(F.col("ci"), F.col("cj"), metric)
     term = F.try_divide(F.col("si") + F.col("sj"), d)
     if guarded:
@@ -127,7 +127,7 @@ def confusion_matrix(df: DataFrame, true: Column, pred: Column) -> DataFrame:
     """``t``, ``p``, ``cnt`` over all labels that either has, with zeros."""
     cells = contingency(df, true, pred)
     labels = cells.select(F.col("t").alias("l")).unionByName(cells.select(F.col("p").alias("l"))).distinct()
-    square = labels.select(F.col("l").alias("t")).crossJoin(F.broadcast(labels.select(F.col("l").alias("p"))))
+    square = labels.select(F.col("l").alias("t")).crossJoin(labels.select(F.col("l").alias("p")))
     return square.join(cells, ["t", "p"], "left").fillna(0, ["cnt"])
 
 

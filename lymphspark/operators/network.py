@@ -60,7 +60,7 @@ def rates(antigens: DataFrame, seed: int, iteration: int, rate: float, decay: fl
 def mutate(counts: DataFrame, antigens: DataFrame, antibodies: DataFrame, rate: DataFrame, metric: str, seed: int, iteration: int) -> DataFrame:
     """``ag``, ``ab``, ``clone``, ``v``, ``d``: clones moved towards their antigen by u * d * rate per element, u from keys."""
     clones = counts.filter("clones > 0").withColumn("clone", F.explode(F.sequence(F.lit(1).cast("long"), "clones")))
-    with_v = clones.join(F.broadcast(antibodies.select(F.col("id").alias("ab"), F.col("v").alias("b"))), "ab").join(antigens.select(F.col("id").alias("ag"), F.col("v").alias("a")), "ag")
+    with_v = clones.join(antibodies.select(F.col("id").alias("ab"), F.col("v").alias("b")), "ab").join(antigens.select(F.col("id").alias("ag"), F.col("v").alias("a")), "ag")
     with_v = with_v.join(F.broadcast(rate.select(F.col("id").alias("ag"), "rate")), "ag", "left").fillna(0.0, ["rate"])
     prefix = F.concat_ws("|", F.lit(f"{seed}|{iteration}"), "ag", "ab", "clone")
     moved = F.transform(F.arrays_zip("a", "b", F.sequence(F.lit(0), F.size("a") - 1).alias("k")), lambda z: z["b"] + hash_uniform(prefix, z["k"]) * F.col("d") * F.col("rate") * (z["a"] - z["b"]))

@@ -17,6 +17,8 @@ from pyarrow import csv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lymphspark.session import ship_package
+
 #: A layout table describes files by hand and is read at the driver; more fields than this are refused.
 MAX_LAYOUT_FIELDS = 100_000
 
@@ -64,6 +66,7 @@ def load_records(records: DataFrame, layouts: DataFrame, id_col: str = "raw_id",
     Null records and records of files without a layout are rejects with that reason. An empty record is one blank field.
     Repeated rows are judged each. An empty table gives an empty result. Other columns of the input are not looked at.
     """
+    ship_package(records.sparkSession)
     known = read_layouts(layouts)
     kind = records.schema[id_col].dataType.simpleString()
     chosen = records.select(F.col(id_col).alias("raw_id"), F.col(file_col).cast("string").alias("file_name"), F.col(line_col).cast("string").alias("raw_line"))

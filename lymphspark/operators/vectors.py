@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lymphspark.session import ship_package
+
 #: Rows of a block.
 BLOCK = 2048
 METRICS = ("euclidean", "cosine")
@@ -54,6 +56,7 @@ def over_blocks(a: DataFrame, b: DataFrame | None, kernel: Callable, schema: str
 
     Distances are rounded to ``digits``, so that ties are the same however they were computed.
     """
+    ship_package(a.sparkSession)
     alone = b is None
     n_a = max(1, ceil(a.count() / block))
     n_b = n_a if alone else max(1, ceil(b.count() / block))

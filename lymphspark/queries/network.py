@@ -93,6 +93,12 @@ def component_labels(spark: SparkSession, folder: str) -> DataFrame:
     return graph.component_labels(_antigens(spark, folder).select(F.col("id").alias("node")), kept)
 
 
+def agglomerative_merges(spark: SparkSession, folder: str) -> DataFrame:
+    """Average linkage along the spanning forest, below a threshold: what a dendrogram shows, with the size of every subtree."""
+    ag = _antigens(spark, folder)
+    return graph.agglomerate(ag, "cosine", 0.06, graph.spanning_forest(ag, "cosine"))[1].select("a", "b", F.round("d", 6).alias("d"), "size")
+
+
 # negative selection: class 1 are the labels from 5 on
 
 _NEG = negative.NegativeParams(number_of_detectors=40, fit_threshold=0.85)
@@ -127,7 +133,7 @@ def negsel_fit_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 _FUNCTIONS = (
     ais_clone_counts, ais_mutate, ais_reselect, ais_prune, ais_suppress, ais_iteration_stats, ais_fit_summary, ais_predict_labels, mst_edges, mst_prune_threshold,
-    mst_prune_average, component_labels, array_crossover, negsel_filter_detectors, negsel_predict, negsel_fit_summary,
+    mst_prune_average, component_labels, agglomerative_merges, array_crossover, negsel_filter_detectors, negsel_predict, negsel_fit_summary,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 

@@ -9,7 +9,7 @@ from lymphspark.functions import text as T
 from lymphspark.functions.numbers import cosine_similarity, hash_uniform, normalize_vector, round_half_even
 from lymphspark.functions.words import whitespace_tokens
 from lymphspark.operators import lexicon, tabular, terms
-from lymphspark.queries.text import _COUNT, _SPLIT, _TOKENS, DOCS, NEWS, Sql, _headline_tokens, _q
+from lymphspark.queries.text import _COUNT, _SPLIT, _TOKENS, DOCS, NEWS, Sql, _headline_tokens, _q, texts
 from lymphspark.session import table
 from lymphspark.sources.fixtures import NORM_LINES, SAMPLE_DICTIONARY
 
@@ -122,7 +122,7 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 
 def _doc_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, DOCS).select("doc_id", whitespace_tokens(T.normalize_for_tokens(F.col("text"))).alias("tokens"))
+    return texts(spark, folder).select("doc_id", whitespace_tokens(T.normalize_for_tokens(F.col("text"))).alias("tokens"))
 
 
 def lexicon_prefix_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lymphspark.functions import text as T
 from lymphspark.functions.words import whitespace_tokens
 from lymphspark.operators import terms
-from lymphspark.session import table
+from lymphspark.session import spread, table
 
 DOCS, NEWS = "documents", "newspopularity_cleansed_train_file"
 
@@ -91,6 +91,7 @@ class Sql:
 
 
 _FUNCTIONS = {
+    "fn_casefold": (T.casefold, lambda x: f"translate(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"),
     "fn_remove_accents": (T.remove_accents, lambda x: Sql.ascii(x, False)),
     "fn_remove_special_chars": (T.remove_special_chars, Sql.special),
     "fn_remove_punctuations": (T.remove_punctuations, Sql.punctuation),
@@ -108,13 +109,17 @@ _FUNCTIONS = {
 }
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, DOCS).select("doc_id", "lang", "text"))
+
+
 def _scalar(f):
-    return lambda spark, folder: table(spark, folder, DOCS).select("doc_id", f(F.col("text")).alias("out"))
+    return lambda spark, folder: texts(spark, folder).select("doc_id", f(F.col("text")).alias("out"))
 
 
 def tokenize(spark: SparkSession, folder: str) -> DataFrame:
     t = whitespace_tokens(T.normalize_for_tokens(F.col("text")))
-    return table(spark, folder, DOCS).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    return texts(spark, folder).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 def stopword_antijoin(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +133,7 @@ def regex_predicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _headline_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, NEWS).select("row_id", T.ngram_tokens(T.normalize_for_ngrams(F.col("headline"))).alias("tokens"))
+    return spread(table(spark, folder, NEWS).select("row_id", "headline")).select("row_id", T.ngram_tokens(T.normalize_for_ngrams(F.col("headline"))).alias("tokens"))
 
 
 def ngram_count_1(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +155,7 @@ def tfidf_l2(spark: SparkSession, folder: str) -> DataFrame:
 
 def bigram_collocations(spark: SparkSession, folder: str) -> DataFrame:
     t = whitespace_tokens(T.normalize_for_tokens(F.col("text")))
-    return terms.collocations(table(spark, folder, DOCS), t, min_count=5).select("w1", "w2", F.round("score", 6).alias("score"))
+    return terms.collocations(texts(spark, folder), t, min_count=5).select("w1", "w2", F.round("score", 6).alias("score"))
 
 
 def char_ngram_buckets(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,7 +165,7 @@ def char_ngram_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Three heaviest tf-idf terms of each language."""
-    docs = table(spark, folder, DOCS).filter("lang is not null")
+    docs = texts(spark, folder).filter("lang is not null")
     tokens = docs.select("doc_id", T.ngram_tokens(T.normalize_for_ngrams(F.col("text"))).alias("tokens"))
     weights = terms.tfidf(terms.ngram_counts(tokens, "doc_id", F.col("tokens")), "doc_id", docs.agg(F.count("*").alias("n")))
     mean = weights.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.round(F.avg("weight"), 6).alias("mean_weight"), F.count("*").alias("docs"))

@@ -44,6 +44,7 @@ class Stage:
     """Tables written to the shared folder to cut lineage; each can be dropped once nothing reads it any more."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._seen = 0
@@ -91,6 +92,13 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(str(target))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs of one file are spread over the cores before costly expressions; inputs with partitions enough stay as
+    they are, so that nothing large is ever shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

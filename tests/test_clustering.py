@@ -125,6 +125,15 @@ def test_spanning_forest_equals_prim(spark, blobs):
     assert twins.collect() == []
 
 
+def test_agglomeration(spark, blobs):
+    points, labels, df = blobs
+    clusters, merges = graph.agglomerate(df, "euclidean", 0.3)
+    assert dict(clusters.collect()) == {k: 30 * labels[k] for k in range(90)} and merges.count() == 87
+    path = graph.agglomerate(frame(spark, [[0.0], [1.0], [0.1]]), "euclidean", 0.5, spark.createDataFrame([(0, 1), (1, 2)], "u long, v long"))
+    assert path[1].collect() == []
+    assert graph.agglomerate(df.limit(0), "cosine", 1.0)[0].collect() == []
+
+
 def test_clone_counts_are_half_even_and_never_negative(spark):
     ag, ab = frame(spark, [[0.0, 0.0]]), frame(spark, [[0.25, 0.0], [0.35, 0.0], [0.0, 1.4]])
     got = {r.ab: r.clones for r in clone_counts(ag, ab, "euclidean", 3, 10).collect()}
