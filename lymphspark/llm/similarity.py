@@ -35,8 +35,9 @@ from lymphspark.session import Stage
 _U = np.uint64
 #: Frequency estimates are counts by hashed key; their number is fixed, and so is the size of the broadcast (1 MB).
 BUCKETS = 1 << 17
-#: Postings of one tile part, about; and of one key, beyond which its postings are cut into tiles of block pairs.
-PART, BLOCK = 1 << 20, 1 << 20
+#: Elements behind one tile part; postings of one key beyond which these are cut into tiles of block pairs; postings that a
+#: task holds before it packs them by part.
+PART, BLOCK, HELD = 1 << 20, 1 << 20, 1 << 20
 #: Runs of a key up to SMALL_RUN are compared pair by pair, larger ones as blocks of OUTER rows after up to STARS pivots (all
 #: of them in runs of HOT_RUN and more; a smaller run goes on with pivots only while they find near sets).
 SMALL_RUN, OUTER, STARS, HOT_RUN = 64, 128, 4, 4096
@@ -247,6 +248,8 @@ def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = known.value
+        held: dict[int, list[tuple]] = {}
+        size = 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 8192):
                 batch = whole.slice(lo, 8192)
@@ -270,12 +273,21 @@ def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int])
                 r, key, often = r[post], key[post], often[post]
                 for f in np.unique(field[chosen]).tolist():
                     own = field[r] == f
-                    yield from _blobs(f, r[own], key[own], often[own], rid, n, bitmaps(rows, h, len(n), words[f]), parts[f])
+                    made = _placed(f, r[own], key[own], often[own], rid, n, bitmaps(rows, h, len(n), words[f]), parts[f])
+                    held.setdefault(f, []).append(made)
+                    size += len(made[0])
+                if size >= HELD:
+                    for f, found in held.items():
+                        yield _blobs(f, found)
+                    held, size = {}, 0
+        for f, found in held.items():
+            yield _blobs(f, found)
 
     return run
 
 
-def _blobs(f: int, r, key, often, rid, n, sig, parts: int) -> Iterator[pa.RecordBatch]:
+def _placed(f: int, r, key, often, rid, n, sig, parts: int) -> tuple:
+    """Part and short key of each posting in one number, and what it carries: row, size, bitmap."""
     key = mix(key ^ _U(f + 1))
     blocks = np.maximum(1, -(-often // BLOCK))
     if (blocks > 1).any():
@@ -286,15 +298,17 @@ def _blobs(f: int, r, key, often, rid, n, sig, parts: int) -> Iterator[pa.Record
         tile = (np.minimum(own, other) << 32) | np.maximum(own, other)
         r, key = r[at], np.where(blocks[at] > 1, mix(key[at] ^ mix(tile.astype(np.uint64))), key[at])
     part = (key >> _U(32)).astype(np.int64) % parts
-    short = (key & _U(0xFFFFFFFF)).astype(np.uint32)
-    order = np.argsort((part << 32) | short, kind="stable")
-    part, short, r = part[order], short[order], r[order]
+    return (part << 32) | (key & _U(0xFFFFFFFF)).astype(np.int64), rid[r], n[r], sig[r]
+
+
+def _blobs(f: int, held: list[tuple]) -> pa.RecordBatch:
+    place, rid, n, sig = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(place, kind="stable")
+    place, rid, n, sig = place[order], rid[order], n[order], sig[order]
+    part, short = place >> 32, (place & 0xFFFFFFFF).astype(np.uint32)
     cuts = np.append(run_starts(part), len(part))
-    out_part, out_blob = [], []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        out_part.append(f << 40 | int(part[a]))
-        out_blob.append(pack(short[a:b], rid[r[a:b]], n[r[a:b]], sig[r[a:b]]))
-    yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int64()), pa.array(out_blob, pa.binary())], names=["part", "blob"])
+    blobs = [pack(short[a:b], rid[a:b], n[a:b], sig[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array((f << 40) | part[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
 # ---------------------------------------------------------------- tiles
@@ -459,7 +473,7 @@ class SimilarSets:
         words = {r.field: bitmap_words(r.mean or 0) for r in means}
         known = spark.sparkContext.broadcast(estimate(self.sets, s))
         blobs = self.sets.select("field", "rid", "node", "n", "elements").mapInArrow(_poster(s, known, parts, words), "part long, blob binary")
-        spread = blobs.repartition(max(sum(parts.values()) // 2, 1), "part").sortWithinPartitions("part")
+        spread = blobs.repartition(max(sum(parts.values()), 1), "part").sortWithinPartitions("part")
         return spread.mapInArrow(_tiles(s), "a long, b long")
 
     def _together(self) -> DataFrame:
