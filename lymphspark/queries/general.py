@@ -58,10 +58,9 @@ shaped AS (
 cut AS (
   SELECT *, CASE WHEN sound THEN regexp_extract_all(d || raw_line, '[' || d || ']("(?:[^"]|"")*"|[^"' || d || ']*)', 1) END AS parts FROM shaped),
 cell AS (
-  SELECT raw_id, field_no, value_kind, allowed_values, is_required,
-    trim(CASE WHEN p[1] = '"' THEN replace(p[2:len(p) - 1], '""', '"') ELSE p END, E' \t\r\n') AS v
-  FROM (SELECT raw_id, file_name, unnest(parts) AS p, generate_subscripts(parts, 1) AS field_no FROM cut WHERE sound AND len(parts) = n_fields)
-  JOIN raw_layouts USING (file_name, field_no)),
+  SELECT raw_id, file_name, field_name, value_kind, allowed_values, is_required, raw, trim(raw, E' \t\r\n') AS v
+  FROM (SELECT *, CASE WHEN p[1] = '"' THEN replace(p[2:len(p) - 1], '""', '"') ELSE p END AS raw FROM (SELECT raw_id, file_name, unnest(parts) AS p, generate_subscripts(parts, 1) AS field_no FROM cut WHERE sound AND len(parts) = n_fields)
+  JOIN raw_layouts USING (file_name, field_no))),
 fault AS (
   SELECT raw_id FROM cell WHERE
     CASE WHEN v = '' THEN is_required
@@ -75,6 +74,7 @@ QUERIES = {"p2_found": p2_found, "p2_rejects": p2_rejects, "p2_loaded": p2_loade
 
 ORACLES = {
     "p2_found": _P2_JUDGED + "SELECT raw_id FROM cut WHERE NOT sound OR len(parts) <> n_fields UNION SELECT raw_id FROM fault",
+    "p2_loaded": _P2_JUDGED + "SELECT raw_id, file_name, field_name, CASE WHEN value_kind = 'choice' THEN lower(v) WHEN value_kind IN ('int', 'date') THEN v ELSE raw END AS value FROM cell WHERE raw_id NOT IN (SELECT raw_id FROM fault)",
     "p3_found": f"""
 WITH long AS (
   SELECT row_id, 'terms' AS field_name, terms AS x FROM arxiv_cleansed_data UNION ALL SELECT row_id, 'major_terms', major_terms FROM arxiv_cleansed_data),
