@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All word n-grams with low to high words, as an array of strings; empty where there are too few tokens."""
     def of(n: int) -> Column:
+        if n == 1:
+            return tokens
         last = F.size(tokens) - n
         return F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
+    return tokens if high == 1 else F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
 
 
 def ngram_counts(df: DataFrame, id_col: str, tokens: Column, low: int = 1, high: int = 1) -> DataFrame:
@@ -53,7 +55,9 @@ def collocations(df: DataFrame, tokens: Column, min_count: int = 2, threshold: f
     word = every.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     size = word.agg(F.count("*").alias("v"))
     after = F.size("t") - 1
-    pair = every.filter(after > 0).select(F.explode(F.transform(F.sequence(F.lit(1), after), lambda i: F.struct(F.get("t", i - 1).alias("w1"), F.get("t", i).alias("w2")))).alias("p"))
+    # No filter on the number of tokens: it would be pushed below and make the tokens a second time.
+    both = F.arrays_zip(F.slice("t", 1, F.greatest(after, F.lit(0))).alias("w1"), F.slice("t", 2, F.greatest(after, F.lit(0))).alias("w2"))
+    pair = every.select(F.explode(both).alias("p"))
     pair = pair.groupBy("p.w1", "p.w2").agg(F.count("*").alias("n12")).filter(F.col("n12") >= min_count)
     joined = pair.join(word.select(F.col("w").alias("w1"), F.col("n").alias("n1")), "w1").join(word.select(F.col("w").alias("w2"), F.col("n").alias("n2")), "w2").crossJoin(F.broadcast(size))
     score = (F.col("n12") - min_count) * F.col("v") / (F.col("n1") * F.col("n2"))
