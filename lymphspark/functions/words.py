@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,12 @@ def _runs(text: Column, other: str) -> Column:
 def whitespace_tokens(text: Column) -> Column:
     """``str.split()``: pieces between runs of white space, without empty ones; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\x1c-\x1f]+"), lambda w: w != "")
+
+
+def unnest(df: DataFrame, column: str) -> DataFrame:
+    """One row per element of an array column, which keeps its name; null and empty arrays give none. Elements aren't null.
+
+    The outer form is used since the inner one makes the optimizer infer a filter on the array's size, which it pushes below
+    and so computes a costly array twice more, before any exchange.
+    """
+    return df.withColumn(column, F.explode_outer(column)).filter(F.col(column).isNotNull())

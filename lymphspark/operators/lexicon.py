@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lymphspark.functions.numbers import round_half_even
+from lymphspark.functions.words import unnest
 
 # The fields of a fixed-width norm line (name, start from 0, end), then the flag, the type and five codes.
 FIELDS = (
@@ -75,7 +76,7 @@ def match_lexicon(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def category_profile(df: DataFrame, id_col: str, lexicon: DataFrame) -> DataFrame:
     """``id``, ``category``, ``share``: tokens of a category over all tokens, to 8 places. ``df`` has the id and ``tokens``."""
-    per = df.select(id_col, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).groupBy(id_col, "n", "token").agg(F.count("*").alias("times"))
+    per = unnest(df.select(id_col, F.size("tokens").alias("n"), F.col("tokens").alias("token")), "token").groupBy(id_col, "n", "token").agg(F.count("*").alias("times"))
     matched = per.join(match_lexicon(per, lexicon), "token")
     counts = matched.select(id_col, "n", "times", F.explode("categories").alias("category")).groupBy(id_col, "n", "category").agg(F.sum("times").alias("c"))
     return counts.select(id_col, "category", round_half_even(F.col("c") / F.col("n"), 8).alias("share"))
@@ -128,4 +129,4 @@ def suffix_tags(tokens: Column) -> Column:
 
 def tag_distribution(df: DataFrame, id_col: str) -> DataFrame:
     """``id``, ``tag``, ``share``: how often each tag occurs among the row's tags. ``df`` has the id and ``tags``."""
-    return df.select(id_col, F.size("tags").alias("n"), F.explode("tags").alias("tag")).groupBy(id_col, "n", "tag").agg(F.count("*").alias("c")).select(id_col, "tag", (F.col("c") / F.col("n")).alias("share"))
+    return unnest(df.select(id_col, F.size("tags").alias("n"), F.col("tags").alias("tag")), "tag").groupBy(id_col, "n", "tag").agg(F.count("*").alias("c")).select(id_col, "tag", (F.col("c") / F.col("n")).alias("share"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lymphspark.functions.words import unnest
+
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All word n-grams with low to high words, as an array of strings; empty where there are too few tokens."""
@@ -22,7 +24,7 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
 
 def ngram_counts(df: DataFrame, id_col: str, tokens: Column, low: int = 1, high: int = 1) -> DataFrame:
     """``id``, ``term``, ``cnt``: occurrences of every n-gram in every row. Rows without tokens have none."""
-    return df.select(id_col, F.explode(ngrams(tokens, low, high)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("cnt"))
+    return unnest(df.select(id_col, ngrams(tokens, low, high).alias("term")), "term").groupBy(id_col, "term").agg(F.count("*").alias("cnt"))
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
@@ -52,12 +54,11 @@ def collocations(df: DataFrame, tokens: Column, min_count: int = 2, threshold: f
     score = (count(ab) - min_count) * vocabulary / (count(a) * count(b)); words and pairs below min_count don't count.
     """
     every = df.select(tokens.alias("t"))
-    word = every.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    word = unnest(every.select(F.col("t").alias("w")), "w").groupBy("w").agg(F.count("*").alias("n"))
     size = word.agg(F.count("*").alias("v"))
     after = F.size("t") - 1
-    # No filter on the number of tokens: it would be pushed below and make the tokens a second time.
     both = F.arrays_zip(F.slice("t", 1, F.greatest(after, F.lit(0))).alias("w1"), F.slice("t", 2, F.greatest(after, F.lit(0))).alias("w2"))
-    pair = every.select(F.explode(both).alias("p"))
+    pair = unnest(every.select(both.alias("p")), "p")
     pair = pair.groupBy("p.w1", "p.w2").agg(F.count("*").alias("n12")).filter(F.col("n12") >= min_count)
     joined = pair.join(word.select(F.col("w").alias("w1"), F.col("n").alias("n1")), "w1").join(word.select(F.col("w").alias("w2"), F.col("n").alias("n2")), "w2").crossJoin(F.broadcast(size))
     score = (F.col("n12") - min_count) * F.col("v") / (F.col("n1") * F.col("n2"))
@@ -85,6 +86,6 @@ def average_vectors(tokens: DataFrame, vectors: DataFrame, id_col: str) -> DataF
     ``tokens`` has the id and ``tokens`` (array); ``vectors`` has ``word``, ``dim``, ``x``. Token counts are added up per row
     and word before the join. Rows without a known token have no values, which stand for zeros.
     """
-    n = tokens.select(id_col, F.size("tokens").alias("n"), F.explode("tokens").alias("word"))
+    n = unnest(tokens.select(id_col, F.size("tokens").alias("n"), F.col("tokens").alias("word")), "word")
     per = n.groupBy(id_col, "n", "word").agg(F.count("*").alias("times"))
     return per.join(vectors, "word").groupBy(id_col, "dim").agg((F.sum(F.col("times") * F.col("x")) / F.first("n")).alias("value"))

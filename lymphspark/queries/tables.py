@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lymphspark.functions import text as T
 from lymphspark.functions.numbers import cosine_similarity, hash_uniform, normalize_vector, round_half_even
-from lymphspark.functions.words import whitespace_tokens
+from lymphspark.functions.words import unnest, whitespace_tokens
 from lymphspark.operators import lexicon, tabular, terms
 from lymphspark.queries.text import _COUNT, _SPLIT, _TOKENS, DOCS, NEWS, Sql, _headline_tokens, _q, texts
 from lymphspark.session import table
@@ -126,7 +126,7 @@ def _doc_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lexicon_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
-    words = _doc_tokens(spark, folder).select(F.explode("tokens").alias("token"))
+    words = unnest(_doc_tokens(spark, folder).select(F.col("tokens").alias("token")), "token")
     return lexicon.match_lexicon(words, _lexicon(spark)).select("token", F.array_join("categories", ",").alias("categories"))
 
 
