@@ -25,7 +25,7 @@ def term_pairs(df: DataFrame, id_col: str, terms: Column, field_name: str) -> Da
     count_terms(), and records apart to what only adds up pairs.
     """
     ship_package(df.sparkSession)
-    each = df.select(F.col(id_col).alias("record"), F.array_sort(terms).alias("ts")).filter((F.size("ts") > 0) & F.col("record").isNotNull())
+    each = df.select(F.col(id_col).alias("record"), F.array_sort(terms).alias("ts")).filter(F.col("record").isNotNull())
     return each.mapInArrow(_count_within, f"field_name string, term string, record {df.schema[id_col].dataType.simpleString()}, n long").withColumn("field_name", F.lit(field_name))
 
 
