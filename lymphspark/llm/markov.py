@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lymphspark.llm.components import connected_components
-from lymphspark.llm.near_duplicates import tile_arrays
+from lymphspark.llm.near_duplicates import PAIR, pair_work, tile_arrays
 from lymphspark.llm.numeric import forest, position_in_run, run_starts
 from lymphspark.llm.similarity import TILE, Similarity, SimilarSets, compare, exact_pairs, whole_groups
 
 INFLATION, PRUNE, ROUNDS = 2.0, 1e-4, 40
-#: Entries that a column of the distributed matrix keeps, and pivots that a large component is compared with first.
-KEPT, PIVOTS, SALTS = 16, 32, 16
+#: Columns of the distributed matrix that one task multiplies at a time are those whose numbers agree but for so many bits.
+BLOCK_BITS = 10
+BLOCK = 1 << BLOCK_BITS
+SALTS = 16
 _NODE = "node long, group_row long, group_rows long, cluster_row long, cluster_rows long, flow double"
 
 
@@ -126,38 +128,20 @@ class MarkovClusters:
 
     # Components that no single task may hold.
 
-    def _similar(self, df: DataFrame) -> DataFrame:
-        """Links ``a``, ``b``, ``w`` of the candidate pairs in ``df`` (columns na, nb, ea, eb: nodes and elements)."""
-        o = F.size(F.array_intersect("ea", "eb"))
-        total = F.size("ea") + F.size("eb") - o
-        return df.select("na", "nb", o.alias("o"), total.alias("u")).filter(F.col("o") * self.s.den >= F.col("u") * self.s.num).select(F.col("na").alias("a"), F.col("nb").alias("b"), (F.col("o") / F.col("u")).alias("w"))
-
     def _large_links(self, large: DataFrame) -> DataFrame:
-        """Enough links for the components to be exact: of every set to a few pivots, then of all sets that these leave apart
-        from their component's largest part to all sets, in blocks."""
-        salted = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-        near = Window.partitionBy("comp", "salt").orderBy(F.xxhash64("node"), "node")
-        few = salted.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= PIVOTS // SALTS)
-        pivots = few.select("comp", F.col("node").alias("nb"), F.col("elements").alias("eb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        against = salted.select("comp", "salt", F.col("node").alias("na"), F.col("elements").alias("ea")).join(pivots, ["comp", "salt"]).filter("na <> nb")
-        links = self.stage.write(self._similar(against), "pivots")
-        label = connected_components(links.select("a", "b"), self.stage)
-        labelled = large.join(label.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        sizes = labelled.groupBy("comp", "part").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("comp").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
-        labelled = self.stage.write(labelled.join(largest, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "parts")
-        apart = labelled.filter("part <> main")
-        queries = apart.select("comp", "part", F.col("node").alias("nb"), F.col("elements").alias("eb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"))
-        every = labelled.select("comp", "block", F.col("part").alias("pa"), "main", F.col("node").alias("na"), F.col("elements").alias("ea"))
-        rest = every.join(queries, ["comp", "block"]).filter("pa <> part and (pa = main or na < nb)")
-        return links.unionByName(self._similar(rest))
+        """All links ``a``, ``b``, ``w``: the sets of a component are compared in tiles of block pairs."""
+        found = compare(large, pair_work(self.s), PAIR)
+        return found.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"), (F.col("overlap") / F.col("total")).alias("w"))
 
     def _large(self, large: DataFrame) -> DataFrame:
-        links = self.stage.write(self._large_links(large).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "w").distinct(), "links")
+        links = self.stage.write(self._large_links(large), "links")
         comps = connected_components(links.select("a", "b"), self.stage)
         nodes = large.select("node", "first_row", "copies")
-        to = self.stage.write(markov_distributed(links, nodes, self.stage), "flow")
-        rows = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node")).join(to, "node", "left")
+        nodes = self.stage.write(nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        # A set on its own keeps its copies as flow, as in the stacks.
+        linked = nodes.join(comps.select("node"), "node", "left_semi")
+        to = self.stage.write(markov_distributed(links, linked, self.stage), "flow")
+        rows = nodes.join(to, "node", "left")
         rows = rows.withColumn("attractor", F.coalesce("attractor", "node")).withColumn("flow", F.coalesce("flow", F.col("copies").cast("double")))
         groups = rows.groupBy("root").agg(F.min("first_row").alias("group_row"), F.sum("copies").alias("group_rows"))
         clusters = rows.groupBy("attractor").agg(F.sum("copies").alias("cluster_rows"))
@@ -184,43 +168,119 @@ class MarkovClusters:
         return first.withColumn("rank", F.row_number().over(Window.partitionBy("field", "cluster_row").orderBy(*order))).filter(F.col("rank") <= members).select("field", "cluster_row", "cluster_rows", "rank", "row_id", "flow")
 
 
-def _columns_kept(m: DataFrame) -> DataFrame:
-    """Columns made stochastic, small entries dropped but for the largest of a column, at most KEPT left, stochastic again."""
-    def stochastic(x: DataFrame) -> DataFrame:
-        return x.join(x.groupBy("j").agg(F.sum("v").alias("t")), "j").select("i", "j", (F.col("v") / F.col("t")).alias("v"))
+def _stochastic(m: DataFrame) -> DataFrame:
+    return m.join(m.groupBy("j").agg(F.sum("v").alias("t")), "j").select("i", "j", (F.col("v") / F.col("t")).alias("v"))
+
+
+def _pruned(m: DataFrame) -> DataFrame:
+    """Columns made stochastic, small entries dropped but for the largest of a column, stochastic again."""
+    totals = m.groupBy("j").agg(F.sum("v").alias("t"), F.max("v").alias("top"))
+    return _stochastic(m.join(totals, "j").filter((F.col("v") >= F.col("top")) | (F.col("v") / F.col("t") >= PRUNE)).select("i", "j", (F.col("v") / F.col("t")).alias("v")))
 
-    salted = stochastic(m).withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)))
-    order = [F.desc("v"), F.asc("i")]
-    near = salted.withColumn("r", F.row_number().over(Window.partitionBy("j", "salt").orderBy(*order))).filter(F.col("r") <= KEPT)
-    top = near.withColumn("r", F.row_number().over(Window.partitionBy("j").orderBy(*order))).filter((F.col("r") == 1) | ((F.col("r") <= KEPT) & (F.col("v") >= PRUNE)))
-    return stochastic(top.select("i", "j", "v"))
 
+def block_products(right: np.ndarray, k: np.ndarray, x: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, value) of the products of entries (i, k) and, where ``right``, (k, j), added up over the given k; x is i or j.
 
-def markov_distributed(links: DataFrame, nodes: DataFrame, stage, rounds: int = 12) -> DataFrame:
+    Slices of the result with few products are added up from these, others multiplied as dense matrices.
+    """
+    left = ~right
+    _, k = np.unique(k, return_inverse=True)
+    (rows, i), (cols, j) = (np.unique(x[side], return_inverse=True) for side in (left, right))
+    width = int(k.max(initial=-1)) + 1
+    by_row, by_col = np.argsort(i, kind="stable"), np.argsort(j, kind="stable")
+    i, ka, va = i[by_row], k[left][by_row], v[left][by_row]
+    j, kb, vb = j[by_col], k[right][by_col], v[right][by_col]
+    for lo in range(0, len(cols), 4 * BLOCK):
+        own = slice(*np.searchsorted(j, (lo, lo + 4 * BLOCK)))
+        order = np.argsort(kb[own], kind="stable")
+        jj, kk, vv = j[own][order] - lo, kb[own][order], vb[own][order]
+        count, wide = np.bincount(kk, minlength=width), min(4 * BLOCK, len(cols) - lo)
+        first, dense = np.cumsum(count) - count, None
+        for top in range(0, len(rows), BLOCK):
+            part = slice(*np.searchsorted(i, (top, top + BLOCK)))
+            ii, ki, vi, high = i[part] - top, ka[part], va[part], min(BLOCK, len(rows) - top)
+            each = count[ki]
+            if 4 * each.sum() < high * wide:
+                at = np.repeat(first[ki], each) + position_in_run(np.cumsum(each) - each, int(each.sum()))
+                place, inverse = np.unique(np.repeat(ii, each) * wide + jj[at], return_inverse=True)
+                value = np.bincount(inverse, np.repeat(vi, each) * vv[at], len(place))
+            else:
+                if dense is None:
+                    dense = np.zeros((width, wide))
+                    dense[kk, jj] = vv
+                a = np.zeros((high, width))
+                a[ii, ki] = vi
+                product = (a @ dense).reshape(-1)
+                place = np.flatnonzero(product)
+                value = product[place]
+            if len(place):
+                yield rows[top + place // wide], cols[lo + place % wide], value
+
+
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Products of the entries of every block, from rows sorted by block."""
+    held: list[pa.RecordBatch] = []
+    now = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if held:
+            table = pa.Table.from_batches(held)
+            for found in block_products(*(table.column(c).to_numpy() for c in ("right", "k", "x", "v"))):
+                yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["i", "j", "v"])
+            held.clear()
+
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        cuts = np.append(run_starts(block), len(block))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if block[lo] != now:
+                yield from close()
+                now = block[lo]
+            held.append(batch.slice(lo, hi - lo))
+    yield from close()
+
+
+def _squared(m: DataFrame) -> DataFrame:
+    """The matrix times itself: an entry goes to the block of its column and to that of its row, nowhere else."""
+    entry = lambda right, k, x: F.struct(F.shiftright(k, BLOCK_BITS).alias("block"), F.lit(right).alias("right"), F.col(k).alias("k"), F.col(x).alias("x"), "v")
+    sides = m.select(F.inline(F.array(entry(False, "j", "i"), entry(True, "i", "j"))))
+    products = sides.repartition("block").sortWithinPartitions("block").mapInArrow(_squares, "i long, j long, v double")
+    return products.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def markov_distributed(links: DataFrame, nodes: DataFrame, stage, rounds: int = ROUNDS) -> DataFrame:
     """``node``, ``attractor`` and ``flow`` by squaring a sparse matrix: entry (i, j) is the flow from j to i.
 
-    ``links`` has ``a``, ``b``, ``w``; ``nodes`` has ``node``, ``copies``. A column keeps its KEPT largest entries, so that a
-    squaring makes at most KEPT squared products per column, whatever the degrees.
+    ``links`` has ``a``, ``b``, ``w``, each link once; ``nodes`` has ``node``, ``copies``, and, where they are known, ``root`` of
+    its component and ``first_row``, which orders ties. The same steps as markov_stack, with no other entries left out.
     """
-    both = links.select("a", "b", "w").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("w")))
-    start = both.join(nodes.select(F.col("node").alias("a"), "copies"), "a").select(F.col("a").alias("i"), F.col("b").alias("j"), (F.col("w") * F.col("copies")).alias("v"))
-    m = stage.write(_columns_kept(start), "matrix")
-    flow, before = None, None
-    for k in range(rounds):
-        left, right = m.select("i", F.col("j").alias("k"), F.col("v").alias("x")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-        square = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-        if k == 0:
-            square = stage.write(square, "square")
+    known = nodes.select("node", "copies", *[c if c in nodes.columns else F.lit(0).alias(c) for c in ("root", "first_row")])
+    number = known.select("root").distinct().select("root", F.row_number().over(Window.orderBy("root")).cast("long").alias("number"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("first_row", "node")) - 1
+    ids = stage.write(known.withColumn("place", place).join(number, "root").select("node", "copies", (F.shiftleft("number", 32) + F.col("place")).alias("id")), "ids")
+    end = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"), F.col("copies").alias(f"{c}_copies"))
+    ends = links.join(end("a"), "a").join(end("b"), "b")
+    entry = lambda i, j: F.struct(F.col(f"{i}_id").alias("i"), F.col(f"{j}_id").alias("j"), (F.col("w") * F.col(f"{i}_copies")).alias("v"))
+    loops = ids.select(F.col("id").alias("i"), F.col("id").alias("j"), F.col("copies").cast("double").alias("v"))
+    m = stage.write(_stochastic(stage.write(ends.select(F.inline(F.array(entry("a", "b"), entry("b", "a")))).unionByName(loops), "weights")), "matrix")
+    flow = None
+    for _ in range(rounds):
+        square = stage.write(_squared(m), "square")
+        if flow is None:
             flow = stage.write(square.groupBy("i").agg(F.sum("v").alias("flow")), "flow")
-        new = stage.write(_columns_kept(square.select("i", "j", F.pow("v", F.lit(INFLATION)).alias("v"))), "matrix")
+        new = stage.write(_pruned(square.select("i", "j", F.pow("v", F.lit(INFLATION)).alias("v"))), "matrix")
+        change = new.unionByName(m.select("i", "j", (-F.col("v")).alias("v"))).groupBy("i", "j").agg(F.abs(F.sum("v")).alias("d"))
+        apart = change.agg(F.max("d")).head()[0] or 0.0
+        stage.drop(square)
         stage.drop(m)
         m = new
-        to = m.groupBy("j").agg(F.max_by("i", F.struct(F.round("v", 9), -F.col("i"))).alias("to"))
-        now = to.agg(F.sum(F.xxhash64("j", "to").cast("decimal(20,0)"))).head()[0]
-        if now == before:
+        if apart < 1e-8:
             break
-        before = now
     to = stage.write(m.groupBy("j").agg(F.max_by("i", F.struct(F.round("v", 9), -F.col("i"))).alias("to")), "to")
-    for _ in range(3):
-        to = stage.write(to.join(to.select(F.col("j").alias("to"), F.col("to").alias("next")), "to", "left").select("j", F.coalesce("next", "to").alias("to")), "to")
-    return to.select(F.col("j").alias("node"), F.col("to").alias("attractor")).join(flow.withColumnRenamed("i", "node"), "node", "left")
+    for _ in range(8):
+        ahead = to.select(F.col("j").alias("to"), F.col("to").alias("next"))
+        to = stage.write(to.select("j", "to").join(ahead, "to").select("j", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "to")
+        if not to.filter("moved").take(1):
+            break
+    named = ids.select("node", F.col("id").alias("j")).join(to.select("j", "to"), "j").join(flow.withColumnRenamed("i", "j"), "j")
+    return named.join(ids.select(F.col("node").alias("attractor"), F.col("id").alias("to")), "to").select("node", "attractor", "flow")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lymphspark.llm.components import connected_components
-from lymphspark.llm.markov import MarkovClusters, cluster_groups, markov_distributed
+from lymphspark.llm.markov import MarkovClusters, block_products, cluster_groups, markov_distributed
 from lymphspark.llm.near_duplicates import NearDuplicates
 from lymphspark.llm.similarity import Similarity, tiny
 from lymphspark.session import Stage
@@ -134,6 +134,35 @@ def test_markov_parts_two_cliques_with_a_bridge(spark):
     assert np.allclose([far[k].flow for k in range(10)], flow)
 
 
+def test_large_components_flow_as_small_ones_do(spark):
+    """Near-copies in one component: the distributed matrix has to give what the dense stacks give, clusters and flow."""
+    rng = random.Random(17)
+    bases = [WORDS[k : k + 14] for k in (0, 9, 40)]
+    rows = []
+    for k in range(150):
+        copy = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+        rows.append((0, k, " ".join(copy)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    small, large = ({r.row_id: r for r in MarkovClusters(df, tile=tile).rows().collect()} for tile in (2048, 16))
+    assert max(r.group_rows for r in small.values()) > 40
+    for c in ("group_row", "group_rows", "cluster_row", "cluster_rows"):
+        assert {k: r[c] for k, r in large.items()} == {k: r[c] for k, r in small.items()}
+    assert np.allclose([large[k].flow for k in sorted(small)], [small[k].flow for k in sorted(small)])
+
+
+@pytest.mark.parametrize("density", [0.002, 0.5])
+def test_block_products(density):
+    rng = np.random.default_rng(3)
+    a, b = (np.where(rng.random(shape) < density, rng.random(shape), 0) for shape in ((1500, 60), (60, 5000)))
+    (i, ka), (kb, j) = np.nonzero(a), np.nonzero(b)
+    got = np.zeros((1500, 5000))
+    for x, y, v in block_products(np.repeat([False, True], [len(i), len(j)]), np.r_[ka, kb], np.r_[i, j], np.r_[a[i, ka], b[kb, j]]):
+        got[x, y] += v
+    assert np.allclose(got, a @ b)
+
+
 def test_components_of_paths_stars_and_loops(spark):
     links = [(k, k + 1) for k in range(200)] + [(500, k) for k in range(501, 900)] + [(1000, 1000), (2001, 2000), (2000, 2001)]
     random.Random(3).shuffle(links)
