@@ -255,10 +255,10 @@ def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int])
                 batch = whole.slice(lo, 8192)
                 field, rid, node, n = (batch.column(k).to_numpy() for k in range(4))
                 rows, h = _unpack(batch, "elements")
-                # Of equal sets in the batch one is posted, the first.
-                _, first = np.unique(node, return_index=True)
+                # Of equal sets in the batch one is posted, that of the least rid: rids need not ascend, as a scan may join files.
+                by_node = np.lexsort((rid, node))
                 chosen = np.zeros(len(node), bool)
-                chosen[first] = True
+                chosen[by_node[run_starts(node[by_node])]] = True
                 chosen &= n > 0
                 kept = chosen[rows]
                 rows, h = rows[kept], h[kept]

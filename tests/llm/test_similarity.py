@@ -1,14 +1,16 @@
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lymphspark.llm.components import connected_components
 from lymphspark.llm.markov import MarkovClusters, block_products, cluster_groups, markov_distributed
 from lymphspark.llm.near_duplicates import NearDuplicates
-from lymphspark.llm.similarity import Similarity, tiny
+from lymphspark.llm.similarity import BUCKETS, Similarity, _poster, tiny, unpack
 from lymphspark.session import Stage
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("b", "d", "g", "l", "n", "r", "s", "t", "v", "z")]
@@ -171,6 +173,15 @@ def test_components_of_paths_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Stage(spark, "test")).collect() == []
 
 
+def test_least_row_of_equal_sets_is_posted():
+    """Rows of several staged files in one batch: a class of copies is found by its least rid, wherever that row stands."""
+    elements = [[1, 2, 3, 4, 5, 6], [11, 12, 13, 14, 15, 16]] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int32()), pa.array([9, 2, 3, 8]), pa.array([70, 71] * 2), pa.array([6] * 4, pa.int32()), pa.array(elements, pa.list_(pa.int64()))], names=["field", "rid", "node", "n", "elements"])
+    run = _poster(Similarity(3, 5, paired=True), SimpleNamespace(value=np.zeros(BUCKETS, np.int64)), {0: 1}, {0: 2})
+    posted = {r for out in run(iter([batch])) for blob in out.column(1) for r in unpack(blob.as_py())[1].tolist()}
+    assert posted == {3, 2}
+
+
 def test_result_does_not_depend_on_partitions(spark):
     rows = made_texts(11, 20, 6, 20, 4, 30)
     one = MarkovClusters(spark.createDataFrame(rows, SCHEMA).coalesce(1)).rows().collect()
