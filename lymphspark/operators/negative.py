@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from lymphspark.functions.numbers import hash_normal, hash_uniform
 from lymphspark.operators.vectors import over_blocks
 
-#: Parents are drawn from this many rows of each class, those with the smallest seeded keys.
-POOL = 4096
+#: Rows are ordered by seeded keys within so many ranges of these.
+RANGES = 4096
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,18 @@ class NegativeParams:
         return max(1, floor(self.crossover_points * dims) if self.crossover_points <= 1 else int(self.crossover_points))
 
 
-def _pool(vectors: DataFrame, label: int, seed: int) -> DataFrame:
-    keyed = vectors.filter(F.col("label") == label).select("id", "v", hash_uniform(seed, F.lit("pool"), "id").alias("u")).orderBy("u", "id").limit(POOL)
-    return keyed.select((F.row_number().over(Window.orderBy("u", "id")) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"), "v")
+def _parents(vectors: DataFrame, label: int, each: DataFrame, kind: str, seed: int) -> DataFrame:
+    """``id`` of ``each`` with ``v``, the row of a class at a seeded place of all its rows, ordered by seeded keys and id."""
+    u = hash_uniform(seed, F.lit("pool"), "id")
+    keyed = vectors.filter(F.col("label") == label).select(F.col("id").alias("row"), "v", u.alias("u"), F.floor(u * RANGES).alias("range"))
+    counts = keyed.groupBy("range").agg(F.count("*").alias("n"))
+    # One row per range.
+    ends = counts.select("range", "n", F.sum("n").over(Window.orderBy("range")).alias("end"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    drawn = each.select("id", hash_uniform(seed, F.lit(kind), "id").alias("x")).join(F.broadcast(ends), F.floor(F.col("x") * F.col("total")).between(F.col("end") - F.col("n"), F.col("end") - 1))
+    drawn = drawn.select("id", "range", (F.floor(F.col("x") * F.col("total")) - F.col("end") + F.col("n")).alias("at"))
+    near = keyed.join(drawn.select("range").distinct(), "range", "left_semi")
+    ranked = near.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("u", "row")) - 1)
+    return drawn.join(ranked, ["range", "at"]).select("id", F.col("v").alias(f"v{kind}"))
 
 
 def candidates(vectors: DataFrame, first: int, count: int, dims: int, p: NegativeParams) -> DataFrame:
@@ -52,9 +61,7 @@ def candidates(vectors: DataFrame, first: int, count: int, dims: int, p: Negativ
     spots = each.select("id", F.explode(F.sequence(F.lit(1), F.lit(dims))).alias("cut")).withColumn("u", hash_uniform(p.seed, F.lit("cut"), "id", "cut"))
     chosen = spots.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("u", "cut"))).filter(F.col("r") <= p.cuts(dims))
     cuts = chosen.groupBy("id").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-    a, b = (F.broadcast(_pool(vectors, label, p.seed).select(F.col("at").alias(f"at{k}"), F.col("n").alias(f"n{k}"), F.col("v").alias(f"v{k}"))) for k, label in (("a", 0), ("b", 1)))
-    pick = lambda k: F.floor(hash_uniform(p.seed, F.lit(k), "id") * F.col(f"n{k}")) == F.col(f"at{k}")
-    both = each.join(cuts, "id").join(a, pick("a")).join(b, pick("b"))
+    both = each.join(cuts, "id").join(_parents(vectors, 0, each, "a", p.seed), "id").join(_parents(vectors, 1, each, "b", p.seed), "id")
     noisy = lambda k: F.transform(F.col(f"v{k}"), lambda x, i: x + hash_normal(p.seed, F.lit(k), F.col("id"), i))
     zipped = F.arrays_zip(noisy("a").alias("a"), noisy("b").alias("b"))
     crossed = F.transform(zipped, lambda z, i: F.when(F.size(F.filter("cuts", lambda c: c <= i)) % 2 == 0, z["a"]).otherwise(z["b"]))

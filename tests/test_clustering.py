@@ -194,6 +194,17 @@ def test_negative_selection(spark):
     assert share[1] == 1.0 and share[0] < 1.0
 
 
+def test_parents_come_from_all_rows(spark):
+    """Over 4,096 rows in each class: a parent's place is counted over them all."""
+    df = spark.range(11000).select("id", F.array(F.col("id") * 1000.0, F.col("id") * 1000.0).alias("v"), (F.col("id") >= 6000).cast("int").alias("label"))
+    got = {r.id: [round(x / 1000) for x in r.v] for r in negative.candidates(df, 0, 40, 2, negative.NegativeParams(crossover_points=1.5)).collect()}
+    keys = sorted((r.u, r.id) for r in df.select("id", hash_uniform(777, F.lit("pool"), "id").alias("u")).collect())
+    pools = {"a": [i for _, i in keys if i < 6000], "b": [i for _, i in keys if i >= 6000]}
+    want = {k: {r.id: pool[int(r.u * len(pool))] for r in spark.range(40).select("id", hash_uniform(777, F.lit(k), "id").alias("u")).collect()} for k, pool in pools.items()}
+    assert len(got) == 40 and all(v[0] == want["a"][k] and v[1] in (want["a"][k], want["b"][k]) for k, v in got.items())
+    assert any(v[1] == want["b"][k] for k, v in got.items())
+
+
 def test_lexicon(spark):
     names, patterns = lexicon.parse_dictionary("%\n1\tcatA\n2\tcatB\n%\nhapp*\t1\nhappen\t2\nthe\t2\nthe\t1\n")
     assert patterns == {"happ*": ["catA"], "happen": ["catB"], "the": ["catA"]}
