@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from lymphspark.functions.numbers import hash_normal, hash_uniform
 from lymphspark.operators.vectors import over_blocks
 
+#: A batch of candidates has up to so many times the detectors wanted; after so many batches without a detector fitting fails.
+GROWTH, BARREN = 64, 100
 #: Rows are ordered by seeded keys within so many ranges of these.
 RANGES = 4096
 
@@ -86,18 +88,28 @@ class NegativeSelection:
     def __init__(self, p: NegativeParams = NegativeParams()):
         self.p, self.detectors = p, None
 
-    def fit(self, vectors: DataFrame, most_batches: int = 20) -> NegativeSelection:
-        """Candidates come in batches until there are detectors enough; the first by number are kept."""
+    def fit(self, vectors: DataFrame, most_batches: int | None = None) -> NegativeSelection:
+        """Candidates come in batches until there are detectors enough; the first by number are kept, whatever the batches.
+
+        Fewer than wanted are an error: with ``most_batches``, if given, or after BARREN batches in a row without any.
+        """
         p, own = self.p, vectors.filter("label = 1").select("id", "v")
         head = vectors.select(F.size("v").alias("f")).head()
         if head is None:
             raise ValueError("there are no rows to fit on")
+        if p.number_of_detectors and len({r.label for r in vectors.filter("label in (0, 1)").select("label").distinct().collect()}) < 2:
+            raise ValueError("both classes need rows")
         kept: list[pd.DataFrame] = []
-        for k in range(most_batches):
-            batch = candidates(vectors, k * p.number_of_detectors, p.number_of_detectors, head.f, p)
-            kept.append(filter_detectors(batch, own, p.fit_threshold).toPandas())
-            if sum(map(len, kept)) >= p.number_of_detectors:
+        first = batches = barren = 0
+        while True:
+            count = p.number_of_detectors * min(1 << batches, GROWTH)
+            kept.append(filter_detectors(candidates(vectors, first, count, head.f, p), own, p.fit_threshold).toPandas())
+            first, batches, barren = first + count, batches + 1, 0 if len(kept[-1]) else barren + 1
+            found = sum(map(len, kept))
+            if found >= p.number_of_detectors:
                 break
+            if batches == most_batches or barren == BARREN:
+                raise RuntimeError(f"{found} of {p.number_of_detectors} detectors after {first} candidates")
         rows = pd.concat(kept).sort_values("id").head(p.number_of_detectors)
         self.detectors = vectors.sparkSession.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(rows.id, rows.v)], "id long, v array<double>")
         return self

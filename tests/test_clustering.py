@@ -194,6 +194,20 @@ def test_negative_selection(spark):
     assert share[1] == 1.0 and share[0] < 1.0
 
 
+def test_detectors_are_made_until_there_are_enough(spark):
+    """Rows of class 1 leave free about one direction in a hundred."""
+    angles = np.radians(np.linspace(0, 294, 30))
+    rows = [[0.0, 0.0]] * 3 + [[np.cos(a), np.sin(a)] for a in angles]
+    df = frame(spark, rows, [0] * 3 + [1] * 30)
+    p = negative.NegativeParams(number_of_detectors=5, fit_threshold=0.85, crossover_points=1.5)
+    model = negative.NegativeSelection(p).fit(df)
+    assert model.detectors.count() == 5 and negative.matched(df.filter("label = 1"), model.detectors, 0.85).collect() == []
+    with pytest.raises(RuntimeError):
+        negative.NegativeSelection(p).fit(df, most_batches=1)
+    with pytest.raises(ValueError):
+        negative.NegativeSelection(p).fit(df.filter("label = 1"))
+
+
 def test_parents_come_from_all_rows(spark):
     """Over 4,096 rows in each class: a parent's place is counted over them all."""
     df = spark.range(11000).select("id", F.array(F.col("id") * 1000.0, F.col("id") * 1000.0).alias("v"), (F.col("id") >= 6000).cast("int").alias("label"))
