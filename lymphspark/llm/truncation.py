@@ -183,15 +183,21 @@ class Truncation:
         return found[0].unionByName(found[1])
 
     def _copies(self) -> DataFrame:
-        """``doc_id`` and ``inside``, ``at_end``: what the alignment of a suspect with the longest text of each band says."""
-        keys = self.docs.select("doc_id", F.lower("text").alias("text")).filter("text is not null").mapInArrow(band_keys, "doc_id long, size long, key long")
-        keys = self.stage.write(keys, "bands")
-        longest = keys.groupBy("key").agg(F.max_by("doc_id", F.struct("size", "doc_id")).alias("other"), F.count("*").alias("n")).filter("n > 1")
-        pairs = keys.join(self.suspects.select("doc_id"), "doc_id", "left_semi").join(longest, "key").filter("doc_id <> other").select("doc_id", "other").distinct()
-        ends = self.suspects.select("doc_id").join(self.docs.select("doc_id", "text"), "doc_id")
-        shown = ends.select("doc_id", F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\s+$", ""), REMARK, ""), rf"\s*{ELLIPSIS}$", "").alias("text"))
-        texts = pairs.join(shown, "doc_id").join(self.docs.select(F.col("doc_id").alias("other"), F.col("text").alias("copy")), "other")
-        told = texts.select("doc_id", "text", "copy").mapInArrow(_align, "doc_id long, goes_on string")
+        """``doc_id`` and ``inside``, ``at_end``: what the alignments of a suspect with all other texts of its bands say.
+
+        Equal texts are one. A band of r suspects and n different texts is r * n alignments.
+        """
+        texts = self.docs.filter("text is not null").select(F.xxhash64("text").alias("whole"), "text").dropDuplicates(["whole"])
+        texts = self.stage.write(texts, "texts")
+        keys = texts.select("whole", F.lower("text").alias("text")).mapInArrow(band_keys, "doc_id long, size long, key long")
+        keys = self.stage.write(keys.select(F.col("doc_id").alias("whole"), "key"), "bands")
+        own = keys.join(self.suspects.select("whole").distinct(), "whole", "left_semi")
+        pairs = own.join(keys.select(F.col("whole").alias("other"), "key"), "key").filter("whole <> other").select("whole", "other").distinct()
+        shown = texts.select("whole", F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\s+$", ""), REMARK, ""), rf"\s*{ELLIPSIS}$", "").alias("text"))
+        shown = shown.join(self.suspects.select("whole").distinct(), "whole", "left_semi")
+        both = pairs.join(shown, "whole").join(texts.select(F.col("whole").alias("other"), F.col("text").alias("copy")), "other")
+        told = both.select("whole", "text", "copy").mapInArrow(_align, "doc_id long, goes_on string").withColumnRenamed("doc_id", "whole")
+        told = told.filter("goes_on is not null").distinct().join(self.suspects.select("doc_id", "whole").distinct(), "whole")
         return told.groupBy("doc_id").agg(F.max(F.col("goes_on") == "inside").alias("inside"), F.max(F.col("goes_on") == "ended").alias("at_end"))
 
     def judged(self) -> DataFrame:

@@ -83,3 +83,13 @@ def test_alignment():
     assert goes_on("The council of Lerno opened a garden near the old bridge", whole) == "ended"
     assert goes_on(whole, whole) is None
     assert goes_on("Nobody opened a garden near the river today", whole) is None
+
+
+def test_every_copy_of_a_band_is_aligned(spark):
+    """Longer retellings that part from the suspect at its end must not hide the one copy that goes on there."""
+    words = [f"w{k}" for k in range(1000)]
+    rows = [(1, "s", " ".join(words[:999])), (2, "s", " ".join(words) + " now.")]
+    # What makes these longer are word runs that all have, so that they stand in the suspect's bands.
+    rows += [(k, "s", " ".join([*words[:997], words[k], *words[:50]])) for k in range(10, 30)]
+    got = {r.doc_id: r.inside for r in Truncation(spark.createDataFrame(rows, "doc_id long, source string, text string"))._copies().collect()}
+    assert got.get(1) is True
