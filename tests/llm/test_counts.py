@@ -114,6 +114,30 @@ def test_fit_lengths_reaches_the_budget():
         assert int((fit_lengths(np.array([4, 9]), np.array([4, 3]), budget) * [4, 9]).sum()) >= best - 9
 
 
+def test_fit_lengths_is_never_short_of_the_best():
+    """A thousand random cases against all reachable sums, without tolerance; small rooms force more documents to be given back."""
+    import numpy as np
+
+    from lymphspark.llm import mixing
+
+    rng, known = random.Random(3), mixing.ROOM
+    try:
+        for _ in range(1000):
+            lengths = rng.sample(range(1, rng.choice([10, 40, 400, 3000]) + 15), rng.randint(1, 12))
+            counts = [rng.randint(1, rng.choice([2, 9, 60])) for _ in lengths]
+            budget = rng.randint(0, sum(a * b for a, b in zip(lengths, counts)))
+            reach = 1
+            for n, c in zip(lengths, counts):
+                for _ in range(c):
+                    reach |= reach << n
+            mixing.ROOM = rng.choice([1, 64, known])
+            take = fit_lengths(np.array(lengths), np.array(counts), budget)
+            assert ((take >= 0) & (take <= counts)).all()
+            assert int((take * lengths).sum()) == (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    finally:
+        mixing.ROOM = known
+
+
 def test_mixture(spark):
     docs = [(k, ["big", "small", "tiny"][min(k // 400, 2)], 10 + k % 23) for k in range(820)] + [(900, None, 50), (901, "big", 0), (902, "other", 9)]
     sizes = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long").withColumn("quota", F.lit(1))
@@ -123,6 +147,7 @@ def test_mixture(spark):
     report = {(r.mix_name, r.source): r for r in mix.report().collect()}
     tokens = {s: sum(n for _, x, n in docs if x == s) for s in ("big", "small", "tiny")}
     assert report["m", "big"].is_met and report["m", "big"].given_tokens == pytest.approx(6000, abs=1)
+    assert report["m", "big"].missing_tokens == 6000 - report["m", "big"].given_tokens
     assert report["w", "small"].is_met == (tokens["small"] * 4 >= 27000) and not report["w", "absent"].is_met and report["w", "absent"].given_tokens == 0
     used = mix.documents().collect()
     given = Counter()
