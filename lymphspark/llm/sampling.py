@@ -20,6 +20,7 @@ from lymphspark.session import Stage
 
 #: The targets, and the cells of a target's category and a stratum, are handled at the driver; more are refused.
 MAX_TARGETS, MAX_CELLS = 10_000, 200_000
+LONE_BLOCK = 4096
 
 
 def trimmed_label(label: Column) -> Column:
@@ -146,7 +147,7 @@ class TargetSample:
 
     ``tables`` maps a table name to (records, key column, stratum expression). A record belongs to a category if its label,
     without outer white space and letter case, is the category's value; rows with one key are one record, and a row without
-    key is a record of its own. Null labels belong to no category. Unknown tables and missing fields count as empty.
+    key is a record of its own: its key is made of a hash of its values and a number among the rows that have these. Null labels belong to no category. Unknown tables and missing fields count as empty.
     Null shares and minima count as 0; of repeated targets the first by share holds. Columns besides these aren't read.
     """
 
@@ -166,14 +167,24 @@ class TargetSample:
 
     def _records(self, tables) -> DataFrame:
         wanted = self.spark.createDataFrame([(s, c) for s, x in self.sets.items() for c in x["targets"]], "target_set string, category_value string")
-        parts = [self.spark.createDataFrame([], "target_set string, category_value string, stratum string, key string")]
+        parts = [self.spark.createDataFrame([], "target_set string, category_value string, stratum string, key string, lone long")]
         for name, s in self.sets.items():
             if s["table"] in tables and s["field"] in tables[s["table"]][0].columns:
                 df, key, stratum = tables[s["table"]]
-                lone = F.when(F.col(key).isNull(), F.concat(F.lit("\x00"), F.uuid())) if key in df.columns else F.uuid()
-                parts.append(df.select(F.lit(name).alias("target_set"), trimmed_label(F.col(f"`{s['field']}`")).alias("category_value"), F.coalesce(stratum.cast("string"), F.lit("unknown")).alias("stratum"), F.coalesce(F.col(key).cast("string"), lone).alias("key")))
+                own = F.col(f"`{key}`").cast("string") if key in df.columns else F.lit(None).cast("string")
+                values = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+                parts.append(df.select(F.lit(name).alias("target_set"), trimmed_label(F.col(f"`{s['field']}`")).alias("category_value"), F.coalesce(stratum.cast("string"), F.lit("unknown")).alias("stratum"), own.alias("key"), F.when(own.isNull(), values).alias("lone")))
         every = reduce(DataFrame.unionByName, parts).join(F.broadcast(wanted), ["target_set", "category_value"], "left_semi")
-        return every.groupBy("target_set", "category_value", "key").agg(F.min("stratum").alias("stratum"))
+        keyed = every.filter("key is not null").groupBy("target_set", "category_value", "key").agg(F.min("stratum").alias("stratum"))
+        return keyed.unionByName(self._lone(every.filter("key is null")))
+
+    @staticmethod
+    def _lone(rows: DataFrame) -> DataFrame:
+        """Rows without a key, equal ones counted first and then numbered; many equal ones in blocks, so that no array grows with them."""
+        counted = rows.groupBy("target_set", "category_value", "stratum", "lone").agg(F.count("*").alias("n"))
+        blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LONE_BLOCK))))
+        each = blocks.withColumn("k", F.explode(F.sequence(F.col("block") * LONE_BLOCK, F.least(F.col("n"), (F.col("block") + 1) * LONE_BLOCK) - 1)))
+        return each.select("target_set", "category_value", F.concat(F.lit("\x00"), F.hex("lone"), F.lit("-"), F.col("k").cast("string")).alias("key"), "stratum")
 
     def _plan(self):
         found = self.cells.limit(MAX_CELLS + 1).collect()
@@ -194,10 +205,10 @@ class TargetSample:
             for c, share, least in s["targets"].values():
                 few, below = available[c] < share * s["size"], available[c] < least
                 why = ", ".join(x for x, yes in (("fewer records than the share", few), ("fewer records than the minimum", below)) if yes)
-                plan.append((name, c, float(share), int(least), int(s["size"]), available[c], quota[c], not (few or below), why or None))
+                plan.append((name, c, float(share), int(least), int(s["size"]), available[c], quota[c], why or None))
         frame = self.spark.createDataFrame
         return (
-            frame(plan, "target_set string, category_value string, target_share double, min_rows long, sample_size long, available long, quota long, is_met boolean, reason string"),
+            frame(plan, "target_set string, category_value string, target_share double, min_rows long, sample_size long, available long, quota long, reason string"),
             frame([q for q in quotas if q[3]], "target_set string, category_value string, stratum string, quota long"),
         )
 
@@ -206,7 +217,14 @@ class TargetSample:
         return take_quotas(self.records, ["target_set", "category_value", "stratum"], random_key(self.seed, "key"), ["key"], self.quotas)
 
     def report(self) -> DataFrame:
-        """One row per target: what there is, what was drawn and its share, and whether the target can be met."""
+        """One row per target: what there is, what was drawn and its share, and whether the target can be met.
+
+        A target is unmet if the draw stays below its share or its minimum, and the records that there are, counted exactly,
+        are too few as well (a draw may also stay below a share because minima of other categories take its place).
+        """
         drawn = self.sample().groupBy("target_set", "category_value").agg(F.count("*").alias("drawn"))
         joined = self.plan.join(drawn, ["target_set", "category_value"], "left").fillna(0, ["drawn"])
-        return joined.withColumn("drawn_share", F.when(F.col("sample_size") > 0, F.col("drawn") / F.col("sample_size")))
+        short = (F.col("drawn") < F.col("target_share") * F.col("sample_size")) | (F.col("drawn") < F.col("min_rows"))
+        columns = [*self.plan.columns[:-1], "is_met", "reason", "drawn", "drawn_share"]
+        joined = joined.withColumn("is_met", ~(short & F.col("reason").isNotNull()))
+        return joined.withColumn("drawn_share", F.when(F.col("sample_size") > 0, F.col("drawn") / F.col("sample_size"))).select(*columns)
