@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from lymphspark.llm.components import connected_components
 from lymphspark.llm.similarity import TILE, Similarity, SimilarSets, compare, exact_pairs, whole_groups
 
+#: Copies of a class that one task pairs with others; classes with more that are broadcast.
+COPIES, MANY = 1024, 100_000
 PAIR = "node_a long, node_b long, overlap int, total int"
 
 
@@ -61,15 +63,34 @@ class NearDuplicates:
 
     def row_pairs(self) -> DataFrame:
         """``field``, ``row_a``, ``row_b``, ``similarity`` of all pairs of rows, row_a before row_b. A class of r copies has
-        r * (r - 1) / 2 pairs of its own, so this form is as large as the result is stated; class_pairs() is not."""
-        left, right = self.members.toDF("field", "node_a", "x"), self.members.select(F.col("node").alias("node_b"), F.col("row_id").alias("y"))
-        across = self.class_pairs().join(left, "node_a").join(right, "node_b")
+        r * (r - 1) / 2 pairs of its own, so this form is as large as the result is stated; class_pairs() is not.
+
+        The members of a class with many copies are cut into salts, so that no task gets all of them on both sides."""
+        salts = self._salts()
+        member = self._salted(self.members, salts).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("salts")))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+        side = lambda node, row: member.select(F.col("node").alias(node), "salt", F.col("row_id").alias(row))
+        spread = lambda pairs, node: self._salted(pairs, salts, node).withColumn("salt", every).drop("salts")
+        across = spread(self.class_pairs(), "node_a").join(member.select("field", F.col("node").alias("node_a"), "salt", F.col("row_id").alias("x")), ["node_a", "salt"]).drop("salt")
+        across = spread(across, "node_b").join(side("node_b", "y"), ["node_b", "salt"])
         several = self.sets.classes.filter("copies > 1").select("node")
-        own = self.members.join(several, "node")
-        within = own.select("field", "node", F.col("row_id").alias("x")).join(own.select("node", F.col("row_id").alias("y")), "node").filter("x < y")
+        own = member.join(several, "node")
+        within = own.select("field", "node", "salt", F.col("row_id").alias("x")).join(own.withColumn("salt", every).select("node", "salt", F.col("row_id").alias("y")), ["node", "salt"]).filter("x < y")
         pairs = across.select("field", "x", "y", (F.col("overlap") / F.col("total")).alias("similarity")).unionByName(within.select("field", "x", "y", F.lit(1.0).alias("similarity")))
         return pairs.select("field", F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"), "similarity")
 
+    def _salts(self) -> DataFrame | None:
+        """``node`` and ``salts`` of classes with more than COPIES rows; none if there are none. Broadcast only up to MANY."""
+        found = self.sets.stage.write(self.sets.classes.filter(F.col("copies") > COPIES).select("node", F.ceil(F.col("copies") / COPIES).alias("salts")), "salts")
+        n = found.limit(MANY + 1).count()
+        return None if not n else F.broadcast(found) if n <= MANY else found
+
+    @staticmethod
+    def _salted(rows: DataFrame, salts: DataFrame | None, node: str = "node") -> DataFrame:
+        if salts is None:
+            return rows.withColumn("salts", F.lit(1).cast("long"))
+        return rows.join(salts.withColumnRenamed("node", node), node, "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
+
     def groups(self) -> DataFrame:
         """One row per row with words enough: ``field``, ``row_id``, ``group_row_id`` (least row of its group), ``n_links``
         (other texts' classes that it is similar to) and ``copies`` (rows with the same set, itself too)."""
