@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lymphspark.llm.components import connected_components
 from lymphspark.llm.near_duplicates import PAIR, pair_work, tile_arrays
-from lymphspark.llm.numeric import forest, position_in_run, run_starts
+from lymphspark.llm.numeric import forest, join, position_in_run, run_starts
 from lymphspark.llm.similarity import TILE, Similarity, SimilarSets, compare, exact_pairs, whole_groups
 
 INFLATION, PRUNE, ROUNDS = 2.0, 1e-4, 40
@@ -98,12 +98,13 @@ def _small_work(s: Similarity):
                 inside, roots = forest(i, j)
                 root[inside] = roots
             attractor, flow = cluster_groups(root, i, j, o / (n[i] + n[j] - o), copies)
-            out = [node]
-            for label in (root, attractor):
-                _, at = np.unique(label, return_inverse=True)
-                least = np.full(at.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, at, first)
-                out += [least[at] if label is root else first[label], np.bincount(at, copies)[at].astype(np.int64)]
+            heads, cluster = np.unique(attractor, return_inverse=True)
+            # Clusters between which an exact link runs make a group.
+            group = join(np.arange(len(heads)), cluster[i], cluster[j])[cluster]
+            least = np.full(len(heads), np.iinfo(np.int64).max)
+            np.minimum.at(least, group, first)
+            size = lambda label: np.bincount(label, copies)[label].astype(np.int64)
+            out = [node, least[group], size(group), first[attractor], size(cluster)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*out, flow)], names=["node", "group_row", "group_rows", "cluster_row", "cluster_rows", "flow"])
 
     return run
@@ -142,18 +143,23 @@ class MarkovClusters:
         linked = nodes.join(comps.select("node"), "node", "left_semi")
         to = self.stage.write(markov_distributed(links, linked, self.stage), "flow")
         rows = nodes.join(to, "node", "left")
-        rows = rows.withColumn("attractor", F.coalesce("attractor", "node")).withColumn("flow", F.coalesce("flow", F.col("copies").cast("double")))
-        groups = rows.groupBy("root").agg(F.min("first_row").alias("group_row"), F.sum("copies").alias("group_rows"))
+        rows = self.stage.write(rows.withColumn("attractor", F.coalesce("attractor", "node")).withColumn("flow", F.coalesce("flow", F.col("copies").cast("double"))), "attracted")
+        # Clusters between which an exact link runs make a group.
+        end = lambda c: rows.select(F.col("node").alias(c), F.col("attractor").alias(f"{c}_to"))
+        between = links.join(end("a"), "a").join(end("b"), "b").filter("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct()
+        joined = connected_components(between, self.stage).toDF("attractor", "group")
+        rows = rows.join(joined, "attractor", "left").withColumn("group", F.coalesce("group", "attractor"))
+        groups = rows.groupBy("group").agg(F.min("first_row").alias("group_row"), F.sum("copies").alias("group_rows"))
         clusters = rows.groupBy("attractor").agg(F.sum("copies").alias("cluster_rows"))
         heads = nodes.select(F.col("node").alias("attractor"), F.col("first_row").alias("cluster_row"))
-        return rows.join(groups, "root").join(clusters, "attractor").join(heads, "attractor").select("node", "group_row", "group_rows", "cluster_row", "cluster_rows", "flow")
+        return rows.join(groups, "group").join(clusters, "attractor").join(heads, "attractor").select("node", "group_row", "group_rows", "cluster_row", "cluster_rows", "flow")
 
     # Results.
 
     def rows(self) -> DataFrame:
-        """One row per row with words: ``field``, ``row_id``; ``group_row`` and ``group_rows`` (least row and size of what is
-        similar directly or through others); ``cluster_row`` and ``cluster_rows`` (attractor and size of its Markov
-        cluster); ``flow``, the flow that the row's text receives."""
+        """One row per row with words: ``field``, ``row_id``; ``cluster_row`` and ``cluster_rows`` (attractor and size of its
+        Markov cluster); ``group_row`` and ``group_rows`` (least row and size of the clusters that exact links join, directly or
+        through others); ``flow``, the flow that the row's text receives."""
         own = self.sets.classes.select("node", "first_row", "copies").join(self.nodes, "node", "left")
         fill = lambda c, other: F.coalesce(c, F.col(other)).alias(c)
         known = own.select("node", fill("group_row", "first_row"), fill("group_rows", "copies"), fill("cluster_row", "first_row"), fill("cluster_rows", "copies"), F.coalesce("flow", F.col("copies").cast("double")).alias("flow"))

@@ -123,6 +123,34 @@ def test_many_copies_of_one_text(spark):
     assert len(top) == 3 and top[0].cluster_rows == 4001
 
 
+def test_groups_are_clusters_joined_by_links(spark):
+    """Two dense groups with one link between them: two Markov clusters, one group, on both paths."""
+    left, right = [WORDS[k : k + 20] for k in (0, 50)]
+    rows = [(0, k, " ".join(left[:k] + left[k + 1 :])) for k in range(6)] + [(0, 10 + k, " ".join(right[:k] + right[k + 1 :])) for k in range(6)]
+    rows += [(0, 20, " ".join(left + right[:12])), (0, 21, " ".join(left[:11] + right))]
+    got = {}
+    for tile in (2048, 4):
+        got[tile] = {r.row_id: r for r in MarkovClusters(spark.createDataFrame(rows, SCHEMA), tile=tile).rows().collect()}
+        want = word_groups(rows)
+        assert {(0, k): r.group_row for k, r in got[tile].items()} == {k: v[1] for k, v in want.items()}
+        assert all(r.group_row == min(x.row_id for x in got[tile].values() if x.group_row == r.group_row) for r in got[tile].values())
+    assert {k: (r.cluster_row, r.cluster_rows, r.group_rows) for k, r in got[2048].items()} == {k: (r.cluster_row, r.cluster_rows, r.group_rows) for k, r in got[4].items()}
+
+
+def test_pairs_of_a_much_copied_text(spark, monkeypatch):
+    """Classes with more copies than a task pairs are salted, on either side of a link and within."""
+    import lymphspark.llm.near_duplicates as near
+
+    base = WORDS[:30]
+    rows = [(0, k, " ".join(base)) for k in range(40)] + [(0, 100 + k, " ".join(base[:-1])) for k in range(25)] + [(0, 200, " ".join(base[1:]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = sorted(map(tuple, NearDuplicates(df, 3, 1, 2).row_pairs().collect()))
+    monkeypatch.setattr(near, "COPIES", 8)
+    assert sorted(map(tuple, NearDuplicates(df, 3, 1, 2).row_pairs().collect())) == plain and len(plain) == 66 * 65 // 2
+    monkeypatch.setattr(near, "MANY", 0)
+    assert sorted(map(tuple, NearDuplicates(df, 3, 1, 2).row_pairs().collect())) == plain
+
+
 def test_markov_parts_two_cliques_with_a_bridge(spark):
     clique = [(a, b) for base in (0, 5) for a in range(base, base + 5) for b in range(base, a)]
     i, j = map(np.array, zip(*clique, (5, 4)))
