@@ -27,12 +27,12 @@ def p2_loaded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    values = split_values(table(spark, folder, "arxiv_cleansed_data"), "row_id", ["terms", "major_terms"], min_values=2)
+    values = split_values(table(spark, folder, "arxiv_cleansed_data"), "row_id", ["terms", "major_terms"], min_values=2, words_apart=True)
     return values.select("row_id", "field_name", "pos", "term")
 
 
 def p3_delimiters(spark: SparkSession, folder: str) -> DataFrame:
-    values = split_values(table(spark, folder, "arxiv_cleansed_data"), "row_id", ["terms", "major_terms"])
+    values = split_values(table(spark, folder, "arxiv_cleansed_data"), "row_id", ["terms", "major_terms"], words_apart=True)
     return values.groupBy("field_name", "delimiter").agg(F.count("*").alias("n_values"), F.countDistinct("row_id").alias("n_rows"))
 
 

@@ -120,3 +120,20 @@ def test_packed_values_infer_delimiters(spark):
     assert {(r.field_name, r.delimiter) for r in got.filter("row_id < 50").collect()} == {("terms", ";"), ("other", "|")}
     assert [r.term for r in got.filter("row_id = 99").orderBy("pos").collect()] == ["a", "b", "c"]
     assert split_values(df.limit(0), "row_id", ["terms"]).collect() == []
+
+
+def test_delimiters_are_inferred_from_the_pieces(spark):
+    """Phrases stay whole between the delimiter of their source, in sources apart by their notation; words stand apart on demand."""
+    rows = [(k, t) for k in range(0, 90, 3) for k, t in ((k, "machine learning; computer vision; graph theory"), (k + 1, "cs.LG cs.CV stat.ML"), (k + 2, "'deep learning, deep', 'b'"))]
+    rows += [(900, "graph theory; number theory, set theory; cs.LG"), (901, "machine learning"), (902, "graph theory | set theory")]
+    df = spark.createDataFrame(rows, "row_id long, terms string")
+    got = {}
+    for r in split_values(df, "row_id", ["terms"]).orderBy("row_id", "pos").collect():
+        got.setdefault(r.row_id, (r.delimiter, []))[1].append(r.term)
+    assert got[0] == (";", ["machine learning", "computer vision", "graph theory"]) and got[1] == (" ", ["cs.LG", "cs.CV", "stat.ML"])
+    assert got[2] == (",", ["deep learning, deep", "b"]) and got[900][1] == ["graph theory", "number theory", "set theory", "cs.LG"]
+    assert got[901] == (None, ["machine learning"]) and got[902] == ("|", ["graph theory", "set theory"])
+    apart = split_values(df, "row_id", ["terms"], words_apart=True).filter("row_id in (0, 2)").orderBy("row_id", "pos").collect()
+    long = spark.createDataFrame([(1, "a" * 300000 + "; b"), (2, "a " * 100000 + ".; b")], "row_id long, terms string")
+    assert split_values(long, "row_id", ["terms"]).filter("row_id = 1").count() == 2
+    assert [r.term for r in apart] == ["machine", "learning", "computer", "vision", "graph", "theory", "deep learning, deep", "b"]
