@@ -24,8 +24,10 @@ _WORD = r"[\p{L}\-]+"
 _CODE = r"(?<![\p{L}\-])[\p{L}\-]*+[\p{Nd}.][\p{L}\p{Nd}.\-]*"
 #: As a pattern for Java and RE2 alike.
 VALUE = f"{_QUOTED}|{_RUN}"
-#: The same where words that only spaces part are one value.
-PHRASES = rf"{_QUOTED}|{_WORD}(?: +{_WORD})+(?![\p{{L}}\p{{Nd}}.\-])|{_RUN}"
+#: Words that only spaces part; classes without groups, as these would recurse once a word.
+_PHRASE = r"[\p{L}\-][\p{L}\- ]*(?<=[\p{L}\-])"
+#: As VALUE where phrases are one value.
+PHRASES = rf"{_QUOTED}|{_PHRASE}(?![\p{{L}}\p{{Nd}}.\-])|{_RUN}"
 OPENING = r"""^\\*["'‘“«`]\s*"""
 CLOSING = r"""\s*\\*["'’”»`]$"""
 #: Stand for a quoted value, a code, and a word or phrase in a skeleton.
@@ -50,7 +52,7 @@ def values_in(text: Column, pattern: str = VALUE) -> Column:
 def skeleton(text: Column, words_apart: bool = False) -> Column:
     """The field with each quoted value, code, and word or phrase replaced by a mark: what is left are brackets and delimiters."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), _BLANK, "")
-    for pattern, mark in ((_QUOTED, _Q), (_CODE, _C), (_WORD if words_apart else rf"{_WORD}(?: +{_WORD})*", _W)):
+    for pattern, mark in ((_QUOTED, _Q), (_CODE, _C), (_WORD if words_apart else _PHRASE, _W)):
         bare = F.regexp_replace(bare, pattern, mark)
     return bare
 
@@ -101,7 +103,7 @@ def split_values(df: DataFrame, id_col: str, columns: list[str], min_values: int
     spaced = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(_QUOTED), F.lit(0))), lambda q: q.rlike(r"[;|,/\s]"))
     hidden = F.aggregate(spaced, F.col("text"), lambda text, q: F.replace(text, q, F.translate(q, "".join(CANDIDATES), _HIDDEN)))
     pieces = F.when(F.col("delimiter").isNull(), F.array("text")).otherwise(F.split(hidden, F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))))
-    one = rf"^(?:{_QUOTED}|{_RUN}{'' if words_apart else rf'|{_WORD}(?: +{_WORD})+'})$"
+    one = rf"^(?:{_QUOTED}|{_RUN}{'' if words_apart else f'|{_PHRASE}'})$"
     bare = F.transform(pieces, lambda p: F.regexp_replace(F.translate(p, _HIDDEN, "".join(CANDIDATES)), _BRACKETS, ""))
     values = F.flatten(F.transform(bare, lambda p: F.when(p == "", F.array().cast("array<string>")).when(p.rlike(one), F.array(_clean(p))).otherwise(values_in(p, VALUE if words_apart else PHRASES))))
     kept = joined.withColumn("values", F.filter(values, lambda v: v != "")).filter(F.size("values") >= min_values)
