@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lymphspark.session import ship_package
+from lymphspark.session import Stage, ship_package
 
 
 def term_pairs(df: DataFrame, id_col: str, terms: Column, field_name: str) -> DataFrame:
@@ -85,8 +85,10 @@ def count_terms(pairs: DataFrame) -> DataFrame:
     """``field_name``, ``term``, ``occurrences``, ``n_rows`` of every distinct term, from pairs as term_pairs() gives them.
 
     Pairs that repeat a term and record add to the occurrences and count one record. An empty table gives an empty result.
+    The pairs are staged first, as the bounds of the ranges are sampled in a pass of their own, which would make them twice.
     """
-    ranged = pairs.select("field_name", "term", "record", "n").repartitionByRange("field_name", "term", "record").sortWithinPartitions("field_name", "term", "record")
+    staged = Stage(pairs.sparkSession, "counts").write(pairs.select("field_name", "term", "record", "n"), "pairs")
+    ranged = staged.repartitionByRange("field_name", "term", "record").sortWithinPartitions("field_name", "term", "record")
     runs = ranged.mapInArrow(scan_runs, "field_name string, term string, occurrences long, n_rows long")
     return runs.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("n_rows").alias("n_rows"))
 
