@@ -93,3 +93,42 @@ def test_every_copy_of_a_band_is_aligned(spark):
     rows += [(k, "s", " ".join([*words[:997], words[k], *words[:50]])) for k in range(10, 30)]
     got = {r.doc_id: r.inside for r in Truncation(spark.createDataFrame(rows, "doc_id long, source string, text string"))._copies().collect()}
     assert got.get(1) is True
+
+
+def test_edge_cases_of_endings(spark):
+    rows = [(1, None, None), (2, "s", ""), (3, "s", " \u00a0\n"), (4, "s", "..."), (5, None, "A text. And a second one that is"), (5, None, "A text. And a second one that is"), (6, "s", "word " * 60000 + "end."), (None, "s", "lost and"), (7, "s", "!" * 50000), (8, "s", "x" * 200000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "text AS whole", "1 AS kind", "1 AS word")
+    t = Truncation(df)
+    got = t.judged().collect()
+    assert [r.doc_id for r in got if r.is_cut] == [5, 5] and {r.doc_id for r in got} <= {4, 5, 8}
+    assert {r.source: (r.docs, r.cut) for r in t.by_source().collect()} == {"s": (4, 0), None: (2, 2)}
+
+
+def test_terminality_is_learned(spark):
+    """Half words and words that no sentence ends with are told from those that texts end with, in a source of titles without stops
+    as in one of sentences, where the same words stand inside too; at any size of the collection."""
+    rng = random.Random(4)
+    for copies in (1, 6):
+        rows, cut = [], set()
+        for _ in range(150 * copies):
+            rows.append((len(rows), "daily", " ".join(sentences(rng, 6))))
+            rows.append((len(rows), "titles", f"The {rng.choice(['harbour', 'garden', 'market'])} of {rng.choice(NAMES)}"))
+            if len(rows) % 5 == 0:
+                text = " ".join(sentences(rng, 3))
+                at = next(k for k in range(rng.randint(40, len(text) - 12), 0, -1) if text[k - 1].isalpha() and text[k].isalpha())
+                cut.add(len(rows))
+                rows.append((len(rows), rng.choice(["daily", "titles"]), text[:at]))
+        found = {r.doc_id for r in Truncation(spark.createDataFrame(rows, "doc_id long, source string, text string")).found().collect()}
+        assert len(found & cut) >= 0.95 * len(cut) and len(found - cut) <= 0.02 * len(rows)
+
+
+def test_share_of_cut_texts():
+    import numpy as np
+
+    from lymphspark.llm.truncation import share_of_cut
+
+    likely = np.array([[0.1, 0.9], [0.8, 0.2]])
+    for share in (0.02, 0.3, 0.9):
+        counts = 10000 * (share * likely[1] + (1 - share) * likely[0])
+        assert share_of_cut(counts, likely, 0.5, 1.0) == pytest.approx(share, abs=0.01)
+    assert share_of_cut(np.zeros(2), likely, 0.9, 2.0) == pytest.approx(0.9)
