@@ -57,7 +57,7 @@ def _run_starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs sorted by field, term and record: for each run of a term its occurrences and its distinct records.
+    """Of pairs sorted by term, field and record: for each run of a term its occurrences and its distinct records.
 
     A record's pairs all lie in one partition, as the record belongs to the range key; only its last record is kept between
     batches.
@@ -85,10 +85,10 @@ def count_terms(pairs: DataFrame) -> DataFrame:
     """``field_name``, ``term``, ``occurrences``, ``n_rows`` of every distinct term, from pairs as term_pairs() gives them.
 
     Pairs that repeat a term and record add to the occurrences and count one record. An empty table gives an empty result.
-    The pairs are staged first, as the bounds of the ranges are sampled in a pass of their own, which would make them twice.
+    The term comes first in the order, as rows are sorted by the first bytes of that column before they are compared. The pairs are staged first, as the bounds of the ranges are sampled in a pass of their own, which would make them twice.
     """
     staged = Stage(pairs.sparkSession, "counts").write(pairs.select("field_name", "term", "record", "n"), "pairs")
-    ranged = staged.repartitionByRange("field_name", "term", "record").sortWithinPartitions("field_name", "term", "record")
+    ranged = staged.repartitionByRange("term", "field_name", "record").sortWithinPartitions("term", "field_name", "record")
     runs = ranged.mapInArrow(scan_runs, "field_name string, term string, occurrences long, n_rows long")
     return runs.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("n_rows").alias("n_rows"))
 
