@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -269,27 +270,33 @@ def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([ids, size.cast(pa.int64()), pa.array(key.view(np.int64))], names=["doc_id", "size", "key"])
 
 
+@lru_cache(maxsize=4096)
+def _aligned_words(text: str) -> list[str]:
+    return APART.sub(r" \g<0> ", text).split()
+
+
 def goes_on(text: str, copy: str) -> str | None:
     """How ``copy`` goes on where ``text`` ends: "inside" a word or sentence, "ended" with the sentence, or None.
 
     The texts are aligned at the words before the text's last one: their last occurrence in the copy.
     """
-    words, other = (APART.sub(r" \g<0> ", t).split() for t in (text, copy))
-    if len(words) < 6 or len(other) < 6:
-        return None
-    runs = lambda ws: {tuple(ws[k : k + RUN]) for k in range(len(ws) - RUN + 1)}
-    own = runs(words[:-1])
-    if len(own & runs(other)) < CONTAINED * len(own):
-        return None
+    words = _aligned_words(text)
     tail = words[-5:-1]
+    if len(words) < 6 or any(w not in copy for w in tail):
+        return None
+    other = _aligned_words(copy)
     for at in range(len(other) - 5, -1, -1):
-        if other[at : at + 4] == tail:
+        if other[at] == tail[0] and other[at : at + 4] == tail:
             break
     else:
         return None
     there = other[at + 4] if at + 4 < len(other) else ""
     last = words[-1]
-    if not there.startswith(last):
+    if len(other) < 6 or not there.startswith(last):
+        return None
+    runs = lambda ws: {tuple(ws[k : k + RUN]) for k in range(len(ws) - RUN + 1)}
+    own = runs(words[:-1])
+    if len(own & runs(other)) < CONTAINED * len(own):
         return None
     if there != last:
         return "ended" if not any(c.isalnum() for c in there[len(last) :]) and there[-1] in ".!?。！？؟।\"”»’')]" else "inside"
