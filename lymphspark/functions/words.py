@@ -17,12 +17,12 @@ def letter_digit_words(text: Column) -> Column:
 
 
 def _runs(text: Column, other: str) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), other), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), other), "")
 
 
 def whitespace_tokens(text: Column) -> Column:
     """``str.split()``: pieces between runs of white space, without empty ones; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\x1c-\x1f]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\s\x1c-\x1f]+"), "")
 
 
 def unnest(df: DataFrame, column: str) -> DataFrame:
