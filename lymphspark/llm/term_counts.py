@@ -25,7 +25,7 @@ def term_pairs(df: DataFrame, id_col: str, terms: Column, field_name: str) -> Da
     count_terms(), and records apart to what only adds up pairs.
     """
     ship_package(df.sparkSession)
-    each = df.select(F.col(id_col).alias("record"), F.array_sort(terms).alias("ts")).filter(F.col("record").isNotNull())
+    each = df.select(F.col(id_col).alias("record"), terms.alias("ts")).filter(F.col("record").isNotNull())
     return each.mapInArrow(_count_within, f"field_name string, term string, record {df.schema[id_col].dataType.simpleString()}, n long").withColumn("field_name", F.lit(field_name))
 
 
@@ -36,11 +36,15 @@ def _count_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         lists = batch.column(1)
         words = pc.list_flatten(lists)
         rows = pc.list_parent_indices(lists).to_numpy()
+        if not len(rows):
+            continue
         codes = words.dictionary_encode()
-        new = _run_starts(rows, codes.indices.to_numpy())
+        pair = rows * len(codes.dictionary) + codes.indices.to_numpy()
+        order = np.argsort(pair)
+        new = _run_starts(pair[order])
         size = np.diff(np.append(new, len(rows)))
-        at = pa.array(new)
-        record = batch.column(0).take(pa.array(rows[new]))
+        at = pa.array(order[new])
+        record = batch.column(0).take(pa.array(rows[order[new]]))
         for lo in range(0, len(new), 65536):
             part = slice(lo, lo + 65536)
             n = len(new[part])
