@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,14 @@ def whitespace_tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\s\x1c-\x1f]+"), "")
 
 
+def remove_stop_words(tokens: Column, stop_words: Iterable[str], lemma: Callable[[Column], Column] | None = None) -> Column:
+    """The tokens, in lower case, that aren't stop words. ``lemma`` makes an array of lemmas from an array of tokens, as a column;
+    these are compared and kept then. Null gives null."""
+    found = F.transform(lemma(tokens) if lemma else tokens, F.lower)
+    words = sorted(stop_words)
+    return F.filter(found, lambda w: ~w.isin(words)) if words else found
+
+
 def unnest(df: DataFrame, column: str) -> DataFrame:
     """One row per element of an array column, which keeps its name; null and empty arrays give none. Elements aren't null.
 

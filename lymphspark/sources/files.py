@@ -30,6 +30,14 @@ def read_delimited(spark: SparkSession, path: str, text_column: str | None = Non
     return df.select(*[F.col(f"`{c}`") for c in wanted])
 
 
+def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """``word``, ``vector`` from lines of a word and its numbers, parted by single spaces, as word vectors are published; a first
+    line with two numbers only (words and dimensions) and lines without numbers are left out. A line that isn't so is an error."""
+    parts = F.split(F.regexp_replace("value", r"\s+$", ""), " ")
+    rows = spark.read.text(path).select(parts.alias("p")).filter((F.size("p") > 2) | ((F.size("p") == 2) & ~F.get("p", F.lit(0)).rlike(r"^\d+$")))
+    return rows.select(F.get("p", F.lit(0)).alias("word"), F.slice("p", 2, F.size("p") - 1).cast("array<double>").alias("vector"))
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """Adds ``row_id``: unique and in file order within each partition; nothing else names a row of a delimited file."""
     return df.withColumn("row_id", F.monotonically_increasing_id())
