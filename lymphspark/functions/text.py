@@ -20,16 +20,17 @@ SINGLE, DOUBLE = "‘’'´`", '"”“'
 QUOTES = SINGLE + DOUBLE
 PUNCTUATION = r"!#$%&\\()*+,\-./:;<=>?@\[\]^_{|}~"
 
-#: Code points whose folded form is read from the Unicode tables: Latin, punctuation, letterlike, number and presentation forms.
-_FOLDED = [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0x2460, 0x2500), *range(0x3000, 0x3001), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]
+#: Code points that may have a compatibility form: all planes that have any.
+_DECOMPOSED = 0x80, 0x20000
 
 
 @lru_cache(maxsize=2)
 def ascii_table(fold_case: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Characters with one ASCII character as their compatibility form, what that is, and those with several."""
     single, made, several = [], [], []
-    for code in _FOLDED:
-        c = chr(code)
+    for c in map(chr, range(*_DECOMPOSED)):
+        if not unicodedata.decomposition(c) and c.casefold() == c:
+            continue
         if fold_case and c != c.lower() and len(c.lower()) == 1:
             continue  # lower() comes first
         out = unicodedata.normalize("NFKD", c.casefold() if fold_case else c).encode("ascii", "ignore").decode()
@@ -50,9 +51,9 @@ def _to_ascii(c: Column, fold_case: bool) -> Column:
     single, made, several = ascii_table(fold_case)
 
     def spell(x: Column) -> Column:
-        for char, text in several:
-            x = F.replace(x, F.lit(char), F.lit(text))
-        return x
+        # Pairs as one text that is split: a constant of the plan, whatever their number.
+        pairs = F.split(F.lit("\n".join(c + text for c, text in several)), "\n")
+        return F.aggregate(pairs, x, lambda text, p: F.replace(text, F.substring(p, 1, 1), F.substring(p, 2, 99)))
 
     def fold(x: Column) -> Column:
         spelled = _where(x, "[" + "".join(c for c, _ in several) + "]", spell)
@@ -80,7 +81,7 @@ def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-#: Backslash runs with a letter that isn't s, and self-closing tags.
+#: Fixed value: backslash runs with a letter that isn't s, and self-closing tags.
 SPECIAL = rf"(\\+[A-RT-Za-rt-z]?|<[{SPACE}]*/?[{SPACE}]*[{WORD}]*[{SPACE}]*/[{SPACE}]*>)"
 
 
@@ -113,7 +114,7 @@ def single_quotes(c: Column) -> Column:
     return F.regexp_replace(c, f"[{DOUBLE}]", "'")
 
 
-#: The rules for quotations, in order: pattern and what replaces it.
+#: The rules for quotations, in order: pattern and what replaces it.
 QUOTATION_RULES = (
     (f"([{QUOTES}]+)([^{SPACE}{QUOTES}]+)([{QUOTES}]+)", "$2"),
     (f"([{QUOTES}]+)([{WORD}]{{3,}})", " $2 "),

@@ -67,3 +67,12 @@ def test_average_vectors_count_unknown_words(spark):
     tokens = spark.createDataFrame([(1, ["a", "a", "zz"]), (2, [])], "id long, tokens array<string>")
     vectors = spark.createDataFrame([("a", 0, 3.0), ("a", 1, 6.0)], "word string, dim int, x double")
     assert {(r.id, r.dim): r.value for r in terms.average_vectors(tokens, vectors, "id").collect()} == {(1, 0): 2.0, (1, 1): 4.0}
+
+
+def test_compatibility_forms_of_all_planes(spark):
+    """Whatever has an ASCII part in its compatibility decomposition keeps it: styled letters, squared units, enclosed letters."""
+    import unicodedata
+
+    texts = ["𝐀𝖇𝒸 𝟘𝟡 ＡＢ", "㎏ ㏂ ㎡ ㍿", "🄰🄑 ⑽ Ⅻ ﬁ", "x²₃ ½ ™ …", "é ß ı Ł", "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.decomposition(c))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.remove_accents(F.col("t")).alias("r")).collect()
+    assert [r.r for r in got] == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
