@@ -39,9 +39,11 @@ def spanning_forest(vectors: DataFrame, metric: str, block: int = 2048) -> DataF
         for p, q, m in ((x, y, d), (y, x, d.T)):
             far = np.where((p.tree.to_numpy()[:, None] == q.tree.to_numpy()[None, :]) | (m <= 0), np.inf, m)
             low, high = np.minimum.outer(p.id.to_numpy(), q.id.to_numpy()), np.maximum.outer(p.id.to_numpy(), q.id.to_numpy())
-            best = np.lexsort((high, low, far), axis=1)[:, 0] if far.shape[1] else np.zeros(0, int)
-            at = np.arange(len(p))
-            out.append(pd.DataFrame({"tree": p.tree.to_numpy(), "w": far[at, best], "u": low[at, best], "v": high[at, best]}))
+            # The least (w, u, v) of each row without sorting it.
+            w = far.min(axis=1)
+            u = np.where(far == w[:, None], low, np.iinfo(np.int64).max).min(axis=1)
+            v = np.where((far == w[:, None]) & (low == u[:, None]), high, np.iinfo(np.int64).max).min(axis=1)
+            out.append(pd.DataFrame({"tree": p.tree.to_numpy(), "w": w, "u": u, "v": v}))
         rows = pd.concat(out)
         return rows[np.isfinite(rows.w)].sort_values(["w", "u", "v"]).groupby("tree", as_index=False).first()[["tree", "w", "u", "v"]]
 

@@ -6,7 +6,8 @@ digits, above the threshold.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from math import floor
 
 import numpy as np
@@ -114,6 +115,18 @@ class NegativeSelection:
         self.detectors = vectors.sparkSession.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(rows.id, rows.v)], "id long, v array<double>")
         return self
 
+    def save(self, folder: str) -> None:
+        """The detectors and parameters as a folder of tables."""
+        self.detectors.write.mode("overwrite").parquet(f"{folder}/detectors")
+        text = json.dumps(asdict(self.p))
+        self.detectors.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/params")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> NegativeSelection:
+        model = cls(NegativeParams(**json.loads(spark.read.text(f"{folder}/params").head()[0])))
+        model.detectors = spark.read.parquet(f"{folder}/detectors")
+        return model
+
     def predict(self, vectors: DataFrame) -> DataFrame:
         """``id``, ``pred``: 0 if a detector matches, else 1."""
         threshold = self.p.predict_threshold or self.p.fit_threshold

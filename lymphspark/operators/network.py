@@ -13,19 +13,20 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lymphspark.functions.numbers import euclidean, hash_uniform, norm, round_half_even
 from lymphspark.functions.numbers import dot as _dot
 from lymphspark.operators import graph
-from lymphspark.operators.vectors import distances, nearest, suppress
+from lymphspark.operators.vectors import distances, nearest, pairs, suppress
 from lymphspark.session import Stage
 
 #: Antibodies that are broadcast to every task; more mean that the suppression threshold is too small for the data.
 MAX_ANTIBODIES = 50_000
-#: Antigens after this position have a mutation rate below 1e-40 of the first, which no double shows.
-MUTATED = 1000
+#: Antigens are ordered by seeded numbers within so many ranges of these.
+RANGES = 4096
 
 
 def _distance(a, b, metric: str):
@@ -50,18 +51,27 @@ def clone_counts(antigens: DataFrame, antibodies: DataFrame, metric: str, n: int
     return near.select(F.col("id").alias("ag"), F.col("target").alias("ab"), "d", count.alias("clones"))
 
 
+def positions(antigens: DataFrame, seed: int, iteration: int) -> DataFrame:
+    """Adds ``pos``, from 0, in a seeded order of all antigens: a place within its range, after those of the ranges before."""
+    u = hash_uniform(seed, iteration, "id")
+    keyed = antigens.withColumn("_u", u).withColumn("_range", F.floor(u * RANGES))
+    counts = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
+    # One row per range.
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_u", "id")) - 1
+    return keyed.withColumn("_at", place).join(F.broadcast(before), "_range").withColumn("pos", F.col("_at") + F.col("_before")).drop("_u", "_range", "_at", "_before")
+
+
 def rates(antigens: DataFrame, seed: int, iteration: int, rate: float, decay: float = 0.9) -> DataFrame:
-    """``id``, ``rate``: the rate falls by ``decay`` along a seeded order. Antigens after MUTATED positions have 0."""
-    first = antigens.select("id", hash_uniform(seed, iteration, "id").alias("u")).orderBy("u", "id").limit(MUTATED)
-    placed = first.withColumn("pos", F.row_number().over(Window.orderBy("u", "id")) - 1)
-    return placed.select("id", (F.lit(rate) * F.pow(F.lit(decay), F.col("pos"))).alias("rate"))
+    """``id``, ``rate``: the rate falls by ``decay`` with each position of a seeded order."""
+    return positions(antigens.select("id"), seed, iteration).select("id", (F.lit(rate) * F.pow(F.lit(decay), F.col("pos"))).alias("rate"))
 
 
 def mutate(counts: DataFrame, antigens: DataFrame, antibodies: DataFrame, rate: DataFrame, metric: str, seed: int, iteration: int) -> DataFrame:
     """``ag``, ``ab``, ``clone``, ``v``, ``d``: clones moved towards their antigen by u * d * rate per element, u from keys."""
     clones = counts.filter("clones > 0").withColumn("clone", F.explode(F.sequence(F.lit(1).cast("long"), "clones")))
     with_v = clones.join(antibodies.select(F.col("id").alias("ab"), F.col("v").alias("b")), "ab").join(antigens.select(F.col("id").alias("ag"), F.col("v").alias("a")), "ag")
-    with_v = with_v.join(F.broadcast(rate.select(F.col("id").alias("ag"), "rate")), "ag", "left").fillna(0.0, ["rate"])
+    with_v = with_v.join(rate.select(F.col("id").alias("ag"), "rate"), "ag", "left").fillna(0.0, ["rate"])
     prefix = F.concat_ws("|", F.lit(f"{seed}|{iteration}"), "ag", "ab", "clone")
     moved = F.transform(F.arrays_zip("a", "b", F.sequence(F.lit(0), F.size("a") - 1).alias("k")), lambda z: z["b"] + hash_uniform(prefix, z["k"]) * F.col("d") * F.col("rate") * (z["a"] - z["b"]))
     return with_v.withColumn("v", moved).select("ag", "ab", "clone", "v", _distance(F.col("v"), F.col("a"), metric).alias("d"))
@@ -106,6 +116,7 @@ class FitParams:
     max_iter: int = 100
     stop_threshold: float = 0.01
     decay: float = 0.9
+    record_antibody_history: bool = False
 
     def __post_init__(self):
         if self.number_of_antibodies < 1 or self.no_best_cells_taken_each_selection < 1 or self.clone_multiplier <= 0:
@@ -122,10 +133,15 @@ class PredictParams:
     minimum_no_edges: int = 1
 
 
-def mature(antigen: np.ndarray, rate: float, population: np.ndarray, p: FitParams, metric: str, random: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Memory clones of one antigen, nearest first, and the best distance before suppression (-1 if none is left)."""
-    d = np.round(distances(antigen, population, metric)[0], 9)
-    near = np.argsort(d, kind="stable")[: p.no_best_cells_taken_each_selection]
+def mature(antigen: np.ndarray, rate: float, population: np.ndarray, p: FitParams, metric: str, random: np.random.Generator, d: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Memory clones of one antigen, nearest first, and the best distance before suppression (-1 if none is left). ``d``, if
+    known, are its rounded distances from the population."""
+    d = np.round(distances(antigen, population, metric)[0], 9) if d is None else d
+    n = min(p.no_best_cells_taken_each_selection, len(d))
+    # The n nearest, ties to the lower: those below the n-th distance, then the first at it.
+    bound = np.partition(d, n - 1)[n - 1]
+    near = np.concatenate([np.flatnonzero(d < bound), np.flatnonzero(d == bound)])[:n]
+    near = near[np.argsort(d[near], kind="stable")]
     count = np.maximum(np.rint(p.clone_multiplier - d[near] * p.clone_multiplier), 0).astype(int)
     clones, parent_d = np.repeat(population[near], count, axis=0), np.repeat(d[near], count)
     if not len(clones):
@@ -151,6 +167,8 @@ class ImmuneNetwork:
     distance_method: str = "euclidean"
     population: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     history: list[tuple[int, int, float]] = field(default_factory=list)
+    #: The antibodies after each iteration, if the parameters ask for them.
+    antibody_history: list[np.ndarray] = field(default_factory=list)
     edges_deleted: DataFrame | None = None
     params: FitParams | None = None
 
@@ -160,7 +178,7 @@ class ImmuneNetwork:
             raise ValueError(f"unknown distance {self.distance_method}")
 
     def fit(self, vectors: DataFrame, p: FitParams) -> ImmuneNetwork:
-        self.params, self.history = p, []
+        self.params, self.history, self.antibody_history = p, [], []
         stage = Stage(self.spark, "network")
         range_ = vectors.agg(F.count("*").alias("n"), F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi"), F.min(F.size("v")).alias("f"), F.max(F.size("v")).alias("g")).head()
         if not range_.n:
@@ -175,6 +193,8 @@ class ImmuneNetwork:
             memory, average = self._iterate(vectors, np.concatenate([memory, fresh]), rate, iteration, stage)
             rate *= p.decay ** float(range_.n)
             self.history.append((iteration, len(memory), average))
+            if p.record_antibody_history:
+                self.antibody_history.append(memory)
         self.population = memory
         return self
 
@@ -182,15 +202,17 @@ class ImmuneNetwork:
         p, metric, seed = self.params, self.distance_method, self.seed
         shared = self.spark.sparkContext.broadcast(population)
         u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{iteration}"), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint")
-        placed = vectors.select("id", "v", u.alias("u")).join(F.broadcast(rates(vectors, seed, iteration, rate, p.decay)), "id", "left").fillna(0.0, ["rate"])
+        placed = positions(vectors.select("id", "v"), seed, iteration).select("id", "v", u.alias("u"), (F.lit(rate) * F.pow(F.lit(p.decay), F.col("pos"))).alias("rate"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             antibodies = shared.value
-            for batch in batches:
+            for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
                 ag, order, best, rows = [], [], [], []
-                for i, v, at, r in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, _, at_, rate_ = (c.to_pylist() for c in batch.columns)
+                antigens = pc.list_flatten(batch.column(1)).to_numpy().reshape(len(ids), -1)
+                for i, v, at, r, d in zip(ids, antigens, at_, rate_, np.round(distances(antigens, antibodies, metric), 9)):
                     random = np.random.Generator(np.random.Philox(key=[seed, (iteration << 40) ^ (i & 0xFFFFFFFFFF)]))
-                    kept, least = mature(np.array(v), r, antibodies, p, metric, random)
+                    kept, least = mature(v, r, antibodies, p, metric, random, d)
                     ag += [i] * len(kept)
                     order += [(at << 15) + k for k in range(len(kept))]
                     best += [least] * len(kept)
@@ -210,6 +232,15 @@ class ImmuneNetwork:
         frame = pd.DataFrame({"id": range(len(self.population)), "v": [r.tolist() for r in self.population]})
         return self.spark.createDataFrame(frame, "id long, v array<double>")
 
+    def antibody_distances(self) -> DataFrame:
+        """``i``, ``j`` (i < j), ``d`` of all pairs of antibodies."""
+        return pairs(self.antibodies(), self.distance_method)
+
+    def recorded(self) -> DataFrame:
+        """``iter``, ``id``, ``v`` of the antibodies after each iteration."""
+        rows = [(k, i, r.tolist()) for k, m in enumerate(self.antibody_history, 1) for i, r in enumerate(m)]
+        return self.spark.createDataFrame(rows, "iter int, id long, v array<double>")
+
     def labels(self, p: PredictParams) -> DataFrame:
         """``node``, ``label`` of every antibody: components of the spanning forest after pruning."""
         a = self.antibodies()

@@ -7,11 +7,12 @@ the result. ``vectors`` frames have ``id`` (long), ``v`` (array of double) and,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from lymphspark.session import ship_package
 
 #: Rows of a block.
 BLOCK = 2048
+#: Targets, and numbers in them, that are broadcast at most.
+SMALL, SMALL_VALUES = 4096, 2_000_000
 METRICS = ("euclidean", "cosine")
 
 
@@ -93,8 +96,12 @@ def pairs(vectors: DataFrame, metric: str) -> DataFrame:
 def nearest(queries: DataFrame, targets: DataFrame, metric: str, n: int) -> DataFrame:
     """``id``, ``rk`` (from 1), ``target``, ``d``: the n nearest targets of every query, ties to the lower target.
 
-    Each pair of blocks gives at most n candidates per query.
+    Up to SMALL targets are sent to where the queries are. Of more, each pair of blocks gives at most n candidates per query.
     """
+    few = targets.select("id", "v").limit(SMALL + 1).toPandas()
+    if len(few) <= SMALL and sum(map(len, few.v)) <= SMALL_VALUES:
+        return _nearest_of_few(queries, few.sort_values("id", ignore_index=True), metric, n)
+
     def kernel(x, y, d, same):
         k = min(n, d.shape[1])
         order = np.lexsort((np.broadcast_to(y.id.to_numpy(), d.shape), d), axis=1)[:, :k]
@@ -105,6 +112,23 @@ def nearest(queries: DataFrame, targets: DataFrame, metric: str, n: int) -> Data
     return found.withColumn("rk", rank).filter(F.col("rk") <= n).select("id", F.col("rk").cast("long").alias("rk"), "target", "d")
 
 
+def _nearest_of_few(queries: DataFrame, few: pd.DataFrame, metric: str, n: int) -> DataFrame:
+    shared = queries.sparkSession.sparkContext.broadcast((few.id.to_numpy(), _stack(few.v)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, known = shared.value
+        for whole in batches if len(ids) else ():
+            for lo in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(lo, BLOCK)
+                own = np.stack([np.asarray(v) for v in batch.column(1).to_pylist()]).astype(np.float64)
+                d = np.round(distances(own, known, metric), 9)
+                k = min(n, d.shape[1])
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(d)), k))), pa.array(np.tile(np.arange(1, k + 1), len(d))), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], names=["id", "rk", "target", "d"])
+
+    return queries.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, "id long, rk long, target long, d double")
+
+
 def suppress(vectors: DataFrame, metric: str, threshold: float) -> DataFrame:
     """The rows that survive suppression: those without a later row (by id) nearer than the threshold.
 

@@ -9,6 +9,7 @@ from lymphspark.functions import text as T
 from lymphspark.functions.numbers import cosine_similarity, hash_uniform, normalize_vector, round_half_even
 from lymphspark.functions.words import unnest, whitespace_tokens
 from lymphspark.operators import lexicon, tabular, terms
+from lymphspark.operators.network import positions
 from lymphspark.queries.text import _COUNT, _SPLIT, _TOKENS, DOCS, NEWS, Sql, _headline_tokens, _q, texts
 from lymphspark.session import table
 from lymphspark.sources.fixtures import NORM_LINES, SAMPLE_DICTIONARY
@@ -217,8 +218,8 @@ def crossover_points(spark: SparkSession, folder: str) -> DataFrame:
 
 def hypermutation_schedule(spark: SparkSession, folder: str) -> DataFrame:
     """Antigens in a seeded order, each with a rate that decays by its position."""
-    place = F.row_number().over(Window.orderBy(hash_uniform(777, F.lit(1), "vec_id"), "vec_id"))
-    return table(spark, folder, "embeddings").select("vec_id", place.cast("long").alias("pos")).select("vec_id", "pos", F.round(F.lit(4.0) * F.pow(F.lit(0.9), F.col("pos") - 1), 9).alias("rate"))
+    placed = positions(table(spark, folder, "embeddings").select(F.col("vec_id").alias("id")), 777, 1)
+    return placed.select(F.col("id").alias("vec_id"), (F.col("pos") + 1).cast("long").alias("pos")).select("vec_id", "pos", F.round(F.lit(4.0) * F.pow(F.lit(0.9), F.col("pos") - 1), 9).alias("rate"))
 
 
 def ruspini_label_encode(spark: SparkSession, folder: str) -> DataFrame:

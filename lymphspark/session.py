@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -35,9 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _drop_local(url: str) -> None:
-    import shutil
-
-    shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
+    if url.startswith(("file:", "/")):
+        shutil.rmtree(url.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 class Stage:
@@ -48,7 +48,8 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._seen = 0
-        atexit.register(self._forget, self.root)
+        # On any file system: results are lazy and may be read until the program ends.
+        atexit.register(self._forget)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._seen += 1
@@ -67,12 +68,12 @@ class Stage:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    @staticmethod
-    def _forget(root: str) -> None:
-        if root.startswith("file:") or root.startswith("/"):
-            import shutil
-
-            shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    def _forget(self) -> None:
+        """Remove all tables of the stage; a session that has ended leaves only local ones to remove."""
+        try:
+            self._delete(self.root)
+        except Exception:
+            _drop_local(self.root)
 
 
 _shipped: set[str] = set()
@@ -90,6 +91,7 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(str(target))
+    atexit.register(_drop_local, str(target.parent))
 
 
 def spread(df: DataFrame) -> DataFrame:

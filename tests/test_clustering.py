@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lymphspark.functions.numbers import hash_uniform, round_half_even
-from lymphspark.operators import graph, lexicon, metrics, negative, tabular, vectors
+from lymphspark.operators import graph, lexicon, metrics, negative, network, tabular, vectors
 from lymphspark.operators.network import FitParams, ImmuneNetwork, PredictParams, clone_counts, mature
 from lymphspark.operators.quota import random_key, take_quotas
 from lymphspark.streaming.score import score_stream
@@ -250,3 +250,34 @@ def test_quotas_are_exact_in_a_hot_cell(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in again.collect()}
     same = take_quotas(rows, ["c"], F.lit(0.5), ["id"], quotas).filter("c = 'hot'").agg(F.max("id")).head()[0]
     assert same == 3 * 1233
+
+
+def test_every_antigen_has_a_rate_whatever_the_decay(spark):
+    got = [r.rate for r in network.rates(spark.range(3000), 1, 1, 4.0, 0.9999).orderBy("rate", ascending=False).collect()]
+    assert got == pytest.approx([4.0 * 0.9999**k for k in range(3000)]) and len(network.rates(spark.range(0), 1, 1, 4.0).collect()) == 0
+    again = {r.id: r.rate for r in network.rates(spark.range(3000).repartition(7), 1, 1, 4.0, 0.9999).collect()}
+    assert again == {r.id: r.rate for r in network.rates(spark.range(3000), 1, 1, 4.0, 0.9999).collect()}
+
+
+def test_antibodies_are_recorded_and_detectors_saved(spark, blobs, tmp_path):
+    p = network.FitParams(number_of_antibodies=10, no_best_cells_taken_each_selection=2, clone_multiplier=5, pruning_threshold=0.5, percent_clones_reselected=0.5, suppression_threshold=0.05, max_iter=2, record_antibody_history=True)
+    net = network.ImmuneNetwork(spark, 3).fit(blobs[2], p)
+    assert len(net.antibody_history) == len(net.history) and np.array_equal(net.antibody_history[-1], net.population)
+    n = len(net.population)
+    assert net.antibody_distances().count() == n * (n - 1) // 2 and net.recorded().filter("iter = 1").count() == net.history[0][1]
+    rows = spark.createDataFrame([(k, [float(k % 3), 1.0, float(k % 5)], k % 2) for k in range(40)], "id long, v array<double>, label int")
+    model = negative.NegativeSelection(negative.NegativeParams(number_of_detectors=3, fit_threshold=0.999)).fit(rows)
+    model.save(str(tmp_path / "n"))
+    back = negative.NegativeSelection.load(spark, str(tmp_path / "n"))
+    assert back.p == model.p and sorted(back.predict(rows).collect()) == sorted(model.predict(rows).collect())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_few_targets_are_found_as_many_are(spark, metric, monkeypatch):
+    rng = np.random.default_rng(3)
+    frame = lambda n: spark.createDataFrame([(k, [round(float(x), 1) for x in rng.random(3)]) for k in range(n)], "id long, v array<double>")
+    queries, targets = frame(90), frame(40)
+    few = sorted(vectors.nearest(queries, targets, metric, 5).collect())
+    assert vectors.nearest(queries, targets.limit(0), metric, 5).collect() == []
+    monkeypatch.setattr(vectors, "SMALL", 10)
+    assert few == sorted(vectors.nearest(queries, targets, metric, 5).collect()) and len(few) == 450
