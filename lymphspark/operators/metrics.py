@@ -184,7 +184,7 @@ def ami(cells: DataFrame) -> float:
     entropy = lambda m: -sum(x / n * log(x / n) for x in m.values())
     bottom = (entropy(t) + entropy(p)) / 2 - expected
     bottom = min(bottom, -2.2e-16) if bottom < 0 else max(bottom, 2.2e-16)
-    return (mi - expected) / bottom
+    return float((mi - expected) / bottom)
 
 
 def map_predictions(df: DataFrame, vector: Column, true: Column, pred: Column) -> DataFrame:

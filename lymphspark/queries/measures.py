@@ -77,7 +77,7 @@ def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ami(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(M.ami(_cells(spark, folder)),)], "value double")
+    return spark.createDataFrame([(round(M.ami(_cells(spark, folder)), 6),)], "value double")
 
 
 QUERIES = {
@@ -173,6 +173,14 @@ ORACLES = {
     "nmi_arithmetic": _nmi("((ht + hp) / 2)"),
     "nmi_geometric": _nmi("sqrt(ht * hp)"),
     "nmi_max": _nmi("greatest(ht, hp)"),
+    # The expectation of the information under fixed margins, by the hypergeometric distribution of each cell.
+    "ami": """WITH c AS (SELECT coalesce(source, '') AS t, coalesce(lang, '') AS p, count(*) AS x FROM documents GROUP BY ALL), n AS (SELECT sum(x)::DOUBLE AS n FROM c),
+a AS (SELECT t, sum(x)::DOUBLE AS a FROM c GROUP BY t), b AS (SELECT p, sum(x)::DOUBLE AS b FROM c GROUP BY p),
+mi AS (SELECT sum(x / n * ln(x * n / (a * b))) AS mi FROM c JOIN a USING (t) JOIN b USING (p), n),
+k AS (SELECT a, b, n, unnest(range(greatest(1, a + b - n)::BIGINT, least(a, b)::BIGINT + 1)) AS k FROM a, b, n),
+e AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1::DOUBLE) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS e FROM k),
+h AS (SELECT (SELECT -sum(a / n * ln(a / n)) FROM a) AS ht, (SELECT -sum(b / n * ln(b / n)) FROM b) AS hp FROM n)
+SELECT round((mi - e) / ((ht + hp) / 2 - e), 6) AS value FROM mi, e, h""",
     "map_pred_to_true": _VOTES + " SELECT pred, mapped FROM best",
     "cluster_accuracy": _VOTES + " SELECT round(avg(CASE WHEN mapped = t THEN 1 ELSE 0 END), 6) AS value FROM d LEFT JOIN best USING (pred)",
     "confusion_matrix": """WITH c AS (SELECT label AS t, (vec_id % 7)::INTEGER AS p FROM embeddings), l AS (SELECT t AS l FROM c UNION SELECT p FROM c)

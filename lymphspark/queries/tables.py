@@ -10,6 +10,7 @@ from lymphspark.functions.numbers import cosine_similarity, hash_uniform, normal
 from lymphspark.functions.words import unnest, whitespace_tokens
 from lymphspark.operators import lexicon, tabular, terms
 from lymphspark.operators.network import positions
+from lymphspark.operators.packed_values import split_values
 from lymphspark.queries.text import _COUNT, _SPLIT, _TOKENS, DOCS, NEWS, Sql, _headline_tokens, _q, texts
 from lymphspark.session import table
 from lymphspark.sources.fixtures import NORM_LINES, SAMPLE_DICTIONARY
@@ -110,6 +111,26 @@ def rarest_terms(spark: SparkSession, folder: str) -> DataFrame:
     return exploded_term_counts(spark, folder).orderBy("cnt", "term").limit(10)
 
 
+def _values(spark: SparkSession, folder: str) -> DataFrame:
+    return split_values(table(spark, folder, ARXIV), "row_id", ["terms"], words_apart=True)
+
+
+def term_counts_any_notation(spark: SparkSession, folder: str) -> DataFrame:
+    """As exploded_term_counts, over every row, whatever its notation."""
+    return _values(spark, folder).groupBy("term").agg(F.count("*").alias("cnt"))
+
+
+def rarest_terms_any_notation(spark: SparkSession, folder: str) -> DataFrame:
+    return term_counts_any_notation(spark, folder).orderBy("cnt", "term").limit(10)
+
+
+def clean_terms_any_notation(spark: SparkSession, folder: str) -> DataFrame:
+    """As arxiv_clean_terms, for every row; rows without values have no majors."""
+    lists = _values(spark, folder).filter(F.col("term").rlike(r"^[^0-9\s.]+(\.[^0-9^\s]+)*$")).withColumn("major", F.split(F.lower("term"), r"\.")[0])
+    majors = lists.select("row_id", F.when(F.col("major").isin(*PHYSICS), "physics").otherwise(F.col("major")).alias("major")).groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("major")), ",").alias("majors"))
+    return table(spark, folder, ARXIV).select("row_id").join(majors, "row_id", "left").select("row_id", F.coalesce("majors", F.lit("")).alias("majors"), F.col("majors").isNull().alias("is_empty"))
+
+
 # lexica
 
 
@@ -251,7 +272,7 @@ _FUNCTIONS = (
     scan_project_text_labels, label_value_counts, label_percent_distribution, having_min_count, topk_label_semijoin, null_audit, distinct_labels, cluster_count,
     stratified_sample_010, filter_self_nonself, tail_rows, positional_columns, lineitem_min_max, event_type_share, arxiv_clean_terms, exploded_term_counts, rarest_terms,
     lexicon_parse, lexicon_prefix_join, lexicon_category_profile, word_count_scaled, fixed_width_parse, tag_distribution, psycholinguistic_profile, avg_word_vectors,
-    subword_avg_vectors, norma_vector, gen_two_spirals, crossover_points, hypermutation_schedule, ruspini_label_encode, cosine_neighbours, precomputed_embeddings,
+    term_counts_any_notation, rarest_terms_any_notation, clean_terms_any_notation, subword_avg_vectors, norma_vector, gen_two_spirals, crossover_points, hypermutation_schedule, ruspini_label_encode, cosine_neighbours, precomputed_embeddings,
     minmax_columns, union_population,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"round_half_even": round_half_even_fixture, "hash_uniform": hash_uniform_series}
@@ -279,7 +300,21 @@ _DIMS = "[" + ", ".join(map(_q, lexicon.DIMENSIONS)) + "]"
 _LONG = "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings"
 _CLEAN = r"list_filter(list_transform(ts, lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: regexp_full_match(t, '[^0-9\s.]+(\.[^0-9^\s]+)*'))"
 
+# Values of any notation: between a pair of quotes of any kind, or an unbroken run of letters, digits, dots and hyphens.
+_ANY = r"""SELECT row_id, term FROM (SELECT row_id, trim(CASE WHEN regexp_matches(v, '^\\*["''‘“«`]') THEN regexp_replace(regexp_replace(v, '^\\*["''‘“«`]\s*', ''), '\s*\\*["''’”»`]$', '') ELSE v END, E' \t\r\n') AS term
+  FROM (SELECT row_id, unnest(regexp_extract_all(terms, '\\*"[^"]*"|\\*''[^'']*''|\\*‘[^’]*’|\\*“[^”]*”|\\*«[^»]*»|\\*`[^`]*`|[\p{L}\p{Nd}.\-]+')) AS v FROM arxiv_cleansed_data WHERE terms IS NOT NULL)) WHERE term <> ''"""
+_GRAM_BUCKETS = """g AS (SELECT word, substr('<' || word || '>', i, n) AS gram FROM w, range(3, 7) AS ns(n), range(1, 2000) AS pos(i) WHERE i + n - 1 <= len(word) + 2),
+bucket AS (SELECT word, (('0x' || substr(md5(gram), 1, 12))::BIGINT % 2000000)::VARCHAR AS b FROM g)"""
+
 ORACLES = {
+    "term_counts_any_notation": f"SELECT term, count(*) AS cnt FROM ({_ANY}) GROUP BY 1",
+    "rarest_terms_any_notation": f"SELECT term, count(*) AS cnt FROM ({_ANY}) GROUP BY 1 ORDER BY cnt, term LIMIT 10",
+    "clean_terms_any_notation": rf"""WITH m AS (SELECT row_id, split_part(lower(term), '.', 1) AS m FROM ({_ANY}) WHERE regexp_full_match(term, '[^0-9\s.]+(\.[^0-9^\s]+)*')),
+l AS (SELECT row_id, string_agg(DISTINCT CASE WHEN m IN ({', '.join(map(_q, PHYSICS))}) THEN 'physics' ELSE m END, ',' ORDER BY CASE WHEN m IN ({', '.join(map(_q, PHYSICS))}) THEN 'physics' ELSE m END) AS majors FROM m GROUP BY row_id)
+SELECT row_id, coalesce(majors, '') AS majors, majors IS NULL AS is_empty FROM {ARXIV} LEFT JOIN l USING (row_id)""",
+    "subword_avg_vectors": f"""WITH tok AS ({_TOKENS}), t AS (SELECT row_id, len(t) AS n, unnest(t) AS word FROM tok), w AS (SELECT DISTINCT word FROM t), {_GRAM_BUCKETS},
+vec AS (SELECT word, dim, avg({_u('b', 'dim')}) AS x FROM bucket, range(8) AS r(dim) GROUP BY word, dim)
+SELECT row_id, dim, round(sum(x) / any_value(n), 6) AS value FROM t JOIN vec USING (word) GROUP BY row_id, dim""",
     "scan_project_text_labels": f"SELECT row_id, content, category FROM {COVID}",
     "label_value_counts": f"SELECT {LABEL} AS label, count(*) AS cnt FROM {COVID} GROUP BY 1",
     "label_percent_distribution": f"SELECT {LABEL} AS label, count(*) AS cnt, round_even(count(*) / sum(count(*)) OVER () * 100, 2) AS pct FROM {COVID} GROUP BY 1",
