@@ -245,5 +245,18 @@ item AS (SELECT field_name, row_id, len(runs) AS n, unnest(runs) AS run FROM set
 pair AS (SELECT a.field_name, a.row_id AS row_a, b.row_id AS row_b, count(*) AS o, any_value(a.n + b.n) AS n
   FROM item a JOIN item b ON a.field_name = b.field_name AND a.run = b.run AND a.row_id < b.row_id GROUP BY ALL)
 SELECT field_name, row_a, row_b FROM pair WHERE 2 * o >= n - o""",
+    # Classes of equal sets, their links, and the least row that is reached from each.
+    "p7_groups": f"""
+WITH RECURSIVE sets AS (SELECT field_name, row_id, list_sort(runs) AS runs FROM ({_SQL_RUNS})),
+cls AS (SELECT field_name, runs, min(row_id) AS head, count(*) AS copies FROM sets GROUP BY ALL),
+item AS (SELECT field_name, head, len(runs) AS n, unnest(runs) AS run FROM cls),
+pair AS (SELECT a.field_name, a.head AS x, b.head AS y, count(*) AS o, any_value(a.n + b.n) AS n
+  FROM item a JOIN item b ON a.field_name = b.field_name AND a.run = b.run AND a.head < b.head GROUP BY ALL),
+edge AS (SELECT field_name, x, y FROM pair WHERE 2 * o >= n - o),
+arc AS (SELECT * FROM edge UNION ALL SELECT field_name, y, x FROM edge),
+reach AS (SELECT field_name, x AS head, x AS r FROM arc UNION SELECT reach.field_name, arc.y, reach.r FROM reach JOIN arc ON reach.field_name = arc.field_name AND reach.head = arc.x AND reach.r < arc.y),
+least AS (SELECT field_name, head, min(r) AS r FROM reach GROUP BY ALL), degree AS (SELECT field_name, x AS head, count(*) AS n_links FROM arc GROUP BY ALL)
+SELECT field_name, row_id, coalesce(r, head) AS group_row_id, coalesce(n_links, 0) AS n_links, copies
+FROM sets JOIN cls USING (field_name, runs) LEFT JOIN least USING (field_name, head) LEFT JOIN degree USING (field_name, head)""",
     "p6_counts": _P6_SQL + "SELECT field_name, term, occurrences, n_rows FROM stat",
 }

@@ -137,6 +137,32 @@ def test_groups_are_clusters_joined_by_links(spark):
     assert {k: (r.cluster_row, r.cluster_rows, r.group_rows) for k, r in got[2048].items()} == {k: (r.cluster_row, r.cluster_rows, r.group_rows) for k, r in got[4].items()}
 
 
+@pytest.mark.parametrize("tile", [2048, 64, 8])
+def test_clusters_equal_one_matrix(spark, tile):
+    """The whole graph as one dense matrix, copies as nodes of their own, squared and inflated until it settles."""
+    rows = [r for r in made_texts(29, 12, 9, 16, 5, 20) if r[0] == 0]
+    rows += [(0, 9000 + k, rows[3][2]) for k in range(3)]
+    sets = [frozenset(re.findall(r"[^\W\d_]+", t.lower())) for _, _, t in rows]
+    n = len(rows)
+    m = np.array([[len(a & b) / len(a | b) if 5 * len(a & b) >= 3 * len(a | b) else 0.0 for b in sets] for a in sets])
+    m /= m.sum(axis=0)
+    # What a text receives: from every other text once, in proportion to its copies.
+    first = [sets.index(s) == k for k, s in enumerate(sets)]
+    flow = dict.fromkeys(sets, 0.0)
+    for s, x in zip(sets, (m @ m)[:, first].sum(axis=1)):
+        flow[s] += x
+    for _ in range(60):
+        m = (m @ m) ** 2
+        m /= m.sum(axis=0)
+        m[m < 1e-4 / 4] = 0  # an entry of a set with copies is spread over these
+        m /= m.sum(axis=0)
+    together = components([(i, j) for j in range(n) for i in np.flatnonzero(m[:, j] > 1e-6)], range(n))
+    got = {r.row_id: r for r in MarkovClusters(spark.createDataFrame(rows, SCHEMA), tile=tile).rows().collect()}
+    ours = [got[r[1]].cluster_row for r in rows]
+    assert all((together[i] == together[j]) == (ours[i] == ours[j]) for i in range(n) for j in range(i))
+    assert np.allclose([got[r[1]].flow for r in rows], [flow[s] for s in sets])
+
+
 def test_pairs_of_a_much_copied_text(spark, monkeypatch):
     """Classes with more copies than a task pairs are salted, on either side of a link and within."""
     import lymphspark.llm.near_duplicates as near
