@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import logging
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import fields
 from datetime import datetime
 from pathlib import PurePosixPath
@@ -19,17 +22,28 @@ from lymphspark.sources.files import read_delimited, with_row_id, write_rows
 
 log = logging.getLogger(__name__)
 
+# The measures' names.
 INTERNAL = (
     "euclidean_dunn1", "euclidean_dunn2", "cosine_dunn1", "cosine_dunn2", "euclidean_davies_bouldin", "euclidean_davies_bouldin2", "euclidean_davies_bouldin3",
     "sklearn_davies_bouldin", "cosine_davies_bouldin", "cosine_davies_bouldin2", "cosine_davies_bouldin3", "euclidean_silhouette", "cosine_silhouette",
 )
 EXTERNAL = ("nmi_geometric", "nmi_max", "nmi_arithmetic", "euclidean_cluster_acc", "cosine_cluster_acc")
-#: The columns of a result row, in order.
+#: Fixed values, as the names above: the columns of a result row, in order.
 COLUMNS = ("representation_name", "label_column", "total_clusters", "representation_shape", *INTERNAL, *EXTERNAL, "fit_params", "predict_params", "representation_params")
 SCHEMA = ", ".join(f"{c} {'int' if c == 'total_clusters' else 'double' if c in INTERNAL + EXTERNAL else 'string'}" for c in COLUMNS)
 NAN = float("nan")
 
 
+@contextmanager
+def timed(what: str, *names) -> Iterator[None]:
+    """Logs how long a step took, also if it failed."""
+    began = time.perf_counter()
+    try:
+        yield
+    finally:
+        log.info("%s took %.5f second(s)", what % names, time.perf_counter() - began)
+
+
 def checked(plan: dict) -> dict:
     """The plan with defaults filled in; what is missing or of a wrong kind is an error. One object as ``predict_params`` is
     taken as a list of one."""
@@ -124,7 +138,8 @@ class PlanExecutor:
             dense = texts.select(F.col("row_id").alias("id"), F.col("text").alias("v"))
         else:
             dense = make(name, **params).fit(texts).vectors(texts)
-        vectors = stage.write(tabular.min_max(dense, "v"), "vectors")
+        with timed("representation %s", name):
+            vectors = stage.write(tabular.min_max(dense, "v"), "vectors")
         shape = vectors.agg(F.count("*"), F.max(F.size("v"))).head()
         labels = data.select(F.col("row_id").alias("id"), *[F.col(f"`{c}`").cast("string").alias(f"l{k}") for k, c in enumerate(plan["label_columns"])])
         known = stage.write(vectors.join(labels, "id"), "labelled")
@@ -145,10 +160,13 @@ class PlanExecutor:
         for execution in range(times):
             try:
                 told = plan["model_params"]
-                net = ImmuneNetwork(self.spark, int(told.get("seed", 777)) + execution, told.get("distance_method", "cosine")).fit(vectors, plan["fit"])
+                with timed("fit %d of %s", execution + 1, name):
+                    net = ImmuneNetwork(self.spark, int(told.get("seed", 777)) + execution, told.get("distance_method", "cosine")).fit(vectors, plan["fit"])
                 for p in plan["predict"]:
-                    pred = stage.write(known.join(net.predict(vectors, p), "id").withColumnRenamed("cluster", "pred"), "pred")
-                    inside = internal_measures(pred.select("id", "v", F.col("pred").cast("string").alias("label")))
+                    with timed("prediction %d of %s", execution + 1, name):
+                        pred = stage.write(known.join(net.predict(vectors, p), "id").withColumnRenamed("cluster", "pred"), "pred")
+                    with timed("measures of %d of %s", execution + 1, name):
+                        inside = internal_measures(pred.select("id", "v", F.col("pred").cast("string").alias("label")))
                     rows += [row(name, column, k, pred, inside, str(plan["fit"]), str(p)) for k, column in enumerate(plan["label_columns"])]
                 if models:
                     net.save(f"{models}/network_{output_name(plan, now)}_{name}_{execution + 1}_{times}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("general", "text", "tables", "measures", "network", "plans")
+MODULES = ("general", "text", "tables", "measures", "network", "plans", "files")
 
 
 def _gather(what: str) -> dict:

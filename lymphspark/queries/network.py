@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,14 @@ def agglomerative_merges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.agglomerate(ag, "cosine", 0.06, graph.spanning_forest(ag, "cosine"))[1].select("a", "b", F.round("d", 6).alias("d"), "size")
 
 
+def network_predict(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row gets the label of its nearest antibody, the antibodies being the rows of the lower classes."""
+    ag = scaled(spark, folder)
+    net = N.ImmuneNetwork(spark, SEED, "cosine")
+    net.population = np.stack([np.array(r.v) for r in ag.filter("label < 5").orderBy("id").select("v").collect()])
+    return net.predict(ag.select("id", "v"), N.PredictParams(mst_pruning_type="average", k=0.5))
+
+
 # negative selection: class 1 are the labels from 5 on
 
 _NEG = negative.NegativeParams(number_of_detectors=40, fit_threshold=0.85)
@@ -132,7 +141,7 @@ def negsel_fit_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    ais_clone_counts, ais_mutate, ais_reselect, ais_prune, ais_suppress, ais_iteration_stats, ais_fit_summary, ais_predict_labels, mst_edges, mst_prune_threshold,
+    network_predict, ais_clone_counts, ais_mutate, ais_reselect, ais_prune, ais_suppress, ais_iteration_stats, ais_fit_summary, ais_predict_labels, mst_edges, mst_prune_threshold,
     mst_prune_average, component_labels, agglomerative_merges, array_crossover, negsel_filter_detectors, negsel_predict, negsel_fit_summary,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -182,7 +191,18 @@ def _parents(kind: str, where: str) -> str:
     return f"pool{kind} AS (SELECT v, row_number() OVER (ORDER BY {_u(_S, repr('pool'), 'id')}, id) - 1 AS place, count(*) OVER () AS k FROM n WHERE {where})"
 
 
+# The antibodies take the place of all rows, by their own numbers; the rows are kept apart.
+_FEW = SCALED.replace("n AS (SELECT", "every AS (SELECT") + ", n AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, label, v FROM every WHERE label < 5)"
+_LABELS = f"""{_OTHERS}, cut AS ({_CUT_AVERAGE}),
+kept AS MATERIALIZED (SELECT u, v FROM mst WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.u = mst.u AND cut.v = mst.v)), arc AS MATERIALIZED (SELECT u, v FROM kept UNION ALL SELECT v, u FROM kept),
+reach AS (SELECT id AS node, id AS r FROM n UNION SELECT arc.v, reach.r FROM reach JOIN arc ON arc.u = reach.node AND reach.r < arc.v),
+root AS (SELECT node, min(r) AS root FROM reach GROUP BY node),
+number AS (SELECT root, coalesce(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) OVER (ORDER BY root ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS label FROM (SELECT root, count(*) AS k FROM root GROUP BY root))"""
+
 ORACLES = {
+    "network_predict": f"""WITH RECURSIVE {_boruvka().replace(SCALED, _FEW)}{_LABELS},
+near AS (SELECT q.id, t.id AS target FROM every q, n t QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_distance(q.v, t.v), 9), t.id) = 1)
+SELECT near.id, label AS cluster FROM near JOIN root ON node = target JOIN number USING (root)""",
     "ais_clone_counts": f"WITH {_STEPS} SELECT ag, ab, d, clones FROM counts",
     "ais_mutate": f"WITH {_STEPS} SELECT ag, ab, clone, round(d, 6) AS d, round(v[1], 6) AS v0 FROM mutated",
     "ais_reselect": f"WITH {_STEPS} SELECT ag, ab, clone, rk FROM memory",

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from lymphspark.operators.lexicon import lexicon_frame, parse_dictionary, parse_norms
 
 
-def read_delimited(spark: SparkSession, path: str, text_column: str | None = None, label_columns: list[str] | None = None, delimiter: str = ",", quote: str = '"') -> DataFrame:
+#: How delimited files are written: white space around values stays, as it does when they are read.
+_WRITTEN = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_delimited(spark: SparkSession, path: str, text_column: str | None = None, label_columns: list[str] | None = None, delimiter: str = ",", quote: str = '"', line_breaks: bool = True) -> DataFrame:
     """All columns as strings, named by the header; quotes inside quoted fields are doubled, line breaks may stand in them.
 
     With ``text_column`` only that and the labels are read. ``label_columns`` must be a list; a missing column is an error.
-    An empty ``quote`` switches quoting off.
+    An empty ``quote`` switches quoting off. A file whose fields may have line breaks is read by one task; where none has, or with
+    ``line_breaks`` off, it is split among many.
     """
     if isinstance(label_columns, str):
         raise TypeError("label_columns must be a list of names")
-    options = {"header": True, "sep": delimiter, "quote": quote, "escape": '"', "multiLine": bool(quote), "inferSchema": False, "encoding": "UTF-8", "maxCharsPerColumn": -1}
+    options = {"header": True, "sep": delimiter, "quote": quote, "escape": '"', "multiLine": bool(quote) and line_breaks, "inferSchema": False, "encoding": "UTF-8", "maxCharsPerColumn": -1}
     df = spark.read.options(**options).csv(path)
     if text_column is None:
         return df
@@ -50,7 +55,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """A category dictionary as ``pattern``, ``is_prefix``, ``categories``. It is written by hand, so the driver parses it."""
-    return lexicon_frame(spark, parse_dictionary(Path(path).read_text(encoding="utf-8"))[1])
+    return lexicon_frame(spark, parse_dictionary(_whole(spark, path))[1])
 
 
 def read_norms(spark: SparkSession, path: str) -> DataFrame:
@@ -65,16 +70,21 @@ def read_points(spark: SparkSession, path: str, delimiter: str = ";") -> DataFra
     return df.select("row_id", F.array(*[F.col(f"`{c}`").cast("int").cast("double") for c in names[1:-1]]).alias("v"), F.col(f"`{names[-1]}`").alias("label"))
 
 
-def read_plans(path: str) -> list[dict]:
-    """The plans of a file, which has them under ``executions_plans``."""
-    return json.loads(Path(path).read_text(encoding="utf-8"))["executions_plans"]
+def _whole(spark: SparkSession, path: str) -> str:
+    """A small file from any file system."""
+    return spark.read.text(path, wholetext=True).head()[0]
+
+
+def read_plans(path: str, spark: SparkSession | None = None) -> list[dict]:
+    """The plans of a file, which has them under ``executions_plans``; with a session from any file system."""
+    return json.loads(_whole(spark, path) if spark else Path(path).read_text(encoding="utf-8"))["executions_plans"]
 
 
 def write_rows(rows: DataFrame, folder: str) -> None:
     """Appends rows to a folder of delimited files with a header each, the columns in the order of the frame."""
-    rows.write.mode("append").options(header=True, quote='"', escape='"').csv(folder)
+    rows.write.mode("append").options(**_WRITTEN).csv(folder)
 
 
 def write_sample(df: DataFrame, folder: str, quote_all: bool = False) -> None:
     """A sample as one delimited file; it is small by construction."""
-    df.coalesce(1).write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=quote_all).csv(folder)
+    df.coalesce(1).write.mode("overwrite").options(**_WRITTEN, quoteAll=quote_all).csv(folder)
