@@ -102,30 +102,41 @@ def tiny(s: Similarity) -> int:
 # ---------------------------------------------------------------- sets
 
 
-def hashed_sets(texts: pa.Array, s: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Row and value of every distinct element of each text, sorted by row and value."""
-    words = pc.split_pattern_regex(pc.fill_null(texts, ""), s.other)
+def hashed_words(texts: pa.Array, other: str) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every word of each text, in order; ``other`` is what stands between words."""
+    words = pc.split_pattern_regex(pc.fill_null(texts, ""), other)
     flat = pc.list_flatten(words)
     rows = pc.list_parent_indices(words).to_numpy()
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     coded = flat.dictionary_encode()
     values = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    rows, h = rows[full], values[coded.indices.to_numpy()[full]]
-    if s.run > 1 and len(h) >= s.run:
-        m = len(h) - s.run + 1
-        whole = rows[:m] == rows[s.run - 1 :]
-        made = np.zeros(m, np.uint64)
-        for k in range(s.run):
-            made = mix(made ^ h[k : k + m])
-        rows, h = rows[:m][whole], made[whole]
-    elif s.run > 1:
-        rows, h = rows[:0], h[:0]
+    return rows[full], values[coded.indices.to_numpy()[full]]
+
+
+def word_runs(rows: np.ndarray, h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every run of so many words, in order."""
+    if run == 1 or len(h) < run:
+        return (rows, h) if run == 1 else (rows[:0], h[:0])
+    m = len(h) - run + 1
+    whole = rows[:m] == rows[run - 1 :]
+    made = np.zeros(m, np.uint64)
+    for k in range(run):
+        made = mix(made ^ h[k : k + m])
+    return rows[:m][whole], made[whole]
+
+
+def distinct_sorted(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((h, rows))
     rows, h = rows[order], h[order]
     keep = run_starts(rows, h)
     return rows[keep], h[keep]
 
 
+def hashed_sets(texts: pa.Array, s: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every distinct element of each text, sorted by row and value."""
+    return distinct_sorted(*word_runs(*hashed_words(texts, s.other), s.run))
+
+
 def _set_maker(s: Similarity) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lymphspark.llm.numeric import mix, run_starts
-from lymphspark.llm.similarity import Similarity, hashed_sets
+from lymphspark.llm.similarity import distinct_sorted, hashed_words, word_runs
 from lymphspark.session import Stage, spread
 
 # Marks that end a sentence, quotes and brackets that may follow, ellipses.
@@ -249,25 +249,50 @@ def share_of_cut(counts: np.ndarray, likely: np.ndarray, prior: float, weight: f
 
 # ---------------------------------------------------------------- near-copies
 
-_SETS = Similarity(1, 2, RUN, other=r"[^\pL\pN]+")
+_OTHER = r"[^\pL\pN]+"
+#: Words before a suspect's last one by which texts that go on are found as well, however much longer they are.
+TAIL = 5
+#: Bits of the hashed filter of these (2 MB broadcast, whatever the input).
+TAIL_BITS = 1 << 24
 
 
-def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n words, key) for every band of a text's min-hash signature over all its word runs."""
+def tail_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(whole, key) of the TAIL words before the last word of each text."""
+    for batch in batches:
+        bare = pc.replace_substring_regex(pc.utf8_lower(batch.column(1)), r"[\pL\pN]+[^\pL\pN]*$", "")
+        rows, h = word_runs(*hashed_words(bare, _OTHER), TAIL)
+        last = np.append(run_starts(rows)[1:], len(rows)) - 1 if len(rows) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[last])), pa.array(h[last].view(np.int64))], names=["whole", "key"])
+
+
+def _postings(wanted):
+    """(doc_id, is_tail, key): the bands of a text's min-hash signature over all its word runs, and those of its runs of TAIL words
+    that the filter lets pass."""
     seeds = mix(np.arange(1, BANDS * ROWS + 1).astype(np.uint64))
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 2048):
-            batch = whole.slice(lo, 2048)
-            rows, h = hashed_sets(batch.column(1), _SETS)
-            starts = run_starts(rows)
-            if not len(starts):
-                continue
-            ids = batch.column(0).take(pa.array(rows[starts]))
-            size = pc.binary_length(batch.column(1)).take(pa.array(rows[starts]))
-            low = [np.minimum.reduceat(mix(h ^ s), starts) for s in seeds]
-            for b in range(BANDS):
-                key = mix(np.bitwise_xor.reduce([mix(low[b * ROWS + k] ^ np.uint64(k)) for k in range(ROWS)]) ^ np.uint64(b + 1))
-                yield pa.RecordBatch.from_arrays([ids, size.cast(pa.int64()), pa.array(key.view(np.int64))], names=["doc_id", "size", "key"])
+
+    def told(ids: pa.Array, tail: bool, key: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(key), tail)), pa.array(key.view(np.int64))], names=["doc_id", "is_tail", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                rows, words = hashed_words(batch.column(1), _OTHER)
+                tails = word_runs(rows, words, TAIL)
+                hit = bits[(tails[1] % np.uint64(TAIL_BITS)).astype(np.int64)]
+                ends = distinct_sorted(tails[0][hit], tails[1][hit])
+                yield told(batch.column(0).take(pa.array(ends[0])), True, ends[1])
+                rows, h = distinct_sorted(*word_runs(rows, words, RUN))
+                starts = run_starts(rows)
+                if not len(starts):
+                    continue
+                ids = batch.column(0).take(pa.array(rows[starts]))
+                low = [np.minimum.reduceat(mix(h ^ s), starts) for s in seeds]
+                for b in range(BANDS):
+                    yield told(ids, False, mix(np.bitwise_xor.reduce([mix(low[b * ROWS + k] ^ np.uint64(k)) for k in range(ROWS)]) ^ np.uint64(b + 1)))
+
+    return run
 
 
 @lru_cache(maxsize=4096)
@@ -369,18 +394,28 @@ class Truncation:
         return found[0].unionByName(found[1])
 
     def _copies(self) -> DataFrame:
-        """``doc_id`` and ``inside``, ``at_end``: what the alignments of a suspect with all other texts of its bands say.
+        """``doc_id`` and ``inside``, ``at_end``: what the alignments of a suspect with all other texts of its bands say, and with those
+        that have the TAIL words before its last one, which no band finds where they are much longer.
 
         Equal texts are one. A band of r suspects and n different texts is r * n alignments.
         """
         texts = self.docs.filter("text is not null").select(F.xxhash64("text").alias("whole"), "text").dropDuplicates(["whole"])
         texts = self.stage.write(texts, "texts")
-        keys = texts.select("whole", F.lower("text").alias("text")).mapInArrow(band_keys, "doc_id long, size long, key long")
-        keys = self.stage.write(keys.select(F.col("doc_id").alias("whole"), "key"), "bands")
-        own = keys.join(self.suspects.select("whole").distinct(), "whole", "left_semi")
-        pairs = own.join(keys.select(F.col("whole").alias("other"), "key"), "key").filter("whole <> other").select("whole", "other").distinct()
         # The suspect's own text, as far as it was kept by what was taken off its end.
         shown = texts.join(self.suspects.groupBy("whole").agg(F.max("n_chars").alias("k")), "whole").select("whole", F.substring("text", F.lit(1), F.col("k")).alias("text"))
+        tails = self.stage.write(shown.mapInArrow(tail_keys, "whole long, key long"), "tails")
+        wanted = np.zeros(TAIL_BITS, bool)
+        place = F.expr(f"cast(pmod(pmod(key, {TAIL_BITS}) + {TAIL_BITS}, {TAIL_BITS}) as int)").alias("p")
+        packed = tails.select(place).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits")).toPandas()
+        set_bits = np.unpackbits(packed.bits.to_numpy(np.int64).view(np.uint8), bitorder="little").reshape(-1, 64).astype(bool)
+        wanted.reshape(-1, 64)[packed.w.to_numpy(np.int64)] = set_bits
+        shared = texts.sparkSession.sparkContext.broadcast(wanted)
+        keys = texts.select("whole", F.lower("text").alias("text")).mapInArrow(_postings(shared), "doc_id long, is_tail boolean, key long")
+        keys = self.stage.write(keys.withColumnRenamed("doc_id", "whole"), "bands")
+        bands = keys.filter("not is_tail").select("whole", "key")
+        own = bands.join(self.suspects.select("whole").distinct(), "whole", "left_semi").select("whole", "key", F.lit(False).alias("is_tail"))
+        own = own.unionByName(tails.select("whole", "key", F.lit(True).alias("is_tail")))
+        pairs = own.join(keys.select(F.col("whole").alias("other"), "is_tail", "key"), ["is_tail", "key"]).filter("whole <> other").select("whole", "other").distinct()
         both = pairs.join(shown, "whole").join(texts.select(F.col("whole").alias("other"), F.col("text").alias("copy")), "other")
         told = both.select("whole", "text", "copy").mapInArrow(_align, "doc_id long, goes_on string").withColumnRenamed("doc_id", "whole")
         told = told.filter("goes_on is not null").distinct().join(self.suspects.select("doc_id", "whole").distinct(), "whole")

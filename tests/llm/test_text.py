@@ -132,3 +132,14 @@ def test_share_of_cut_texts():
         counts = 10000 * (share * likely[1] + (1 - share) * likely[0])
         assert share_of_cut(counts, likely, 0.5, 1.0) == pytest.approx(share, abs=0.01)
     assert share_of_cut(np.zeros(2), likely, 0.9, 2.0) == pytest.approx(0.9)
+
+
+def test_a_much_longer_copy_goes_on(spark):
+    """A short cut text and the long one that it was cut from have hardly a band in common: the words before the cut find it."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnop"
+    words = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(4000)]
+    rows = [(1, "s", " ".join(words[2000:2014]) + " " + words[2014][:3]), (2, "s", " ".join(words) + "."), (3, "s", "Other words end here. And so does this."), (4, "s", " ".join(words[2000:2014]) + " " + words[2014] + ".")]
+    rows += [(k, "s", " ".join(rng.sample(words, 30)) + ".") for k in range(10, 40)]
+    got = {r.doc_id: (r.inside, r.at_end) for r in Truncation(spark.createDataFrame(rows, "doc_id long, source string, text string"))._copies().collect()}
+    assert got == {1: (True, False)}
