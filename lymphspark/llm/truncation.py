@@ -280,7 +280,8 @@ def _postings(wanted):
                 batch = whole.slice(lo, 2048)
                 rows, words = hashed_words(batch.column(1), _OTHER)
                 tails = word_runs(rows, words, TAIL)
-                hit = bits[(tails[1] % np.uint64(TAIL_BITS)).astype(np.int64)]
+                at = tails[1] % np.uint64(TAIL_BITS)
+                hit = ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) == 1
                 ends = distinct_sorted(tails[0][hit], tails[1][hit])
                 yield told(batch.column(0).take(pa.array(ends[0])), True, ends[1])
                 rows, h = distinct_sorted(*word_runs(rows, words, RUN))
@@ -404,11 +405,10 @@ class Truncation:
         # The suspect's own text, as far as it was kept by what was taken off its end.
         shown = texts.join(self.suspects.groupBy("whole").agg(F.max("n_chars").alias("k")), "whole").select("whole", F.substring("text", F.lit(1), F.col("k")).alias("text"))
         tails = self.stage.write(shown.mapInArrow(tail_keys, "whole long, key long"), "tails")
-        wanted = np.zeros(TAIL_BITS, bool)
-        place = F.expr(f"cast(pmod(pmod(key, {TAIL_BITS}) + {TAIL_BITS}, {TAIL_BITS}) as int)").alias("p")
+        wanted = np.zeros(TAIL_BITS // 64, np.uint64)
+        place = F.expr(f"cast(pmod(key, {TAIL_BITS}) as int)").alias("p")
         packed = tails.select(place).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits")).toPandas()
-        set_bits = np.unpackbits(packed.bits.to_numpy(np.int64).view(np.uint8), bitorder="little").reshape(-1, 64).astype(bool)
-        wanted.reshape(-1, 64)[packed.w.to_numpy(np.int64)] = set_bits
+        wanted[packed.w.to_numpy(np.int64)] = packed.bits.to_numpy(np.int64).view(np.uint64)
         shared = texts.sparkSession.sparkContext.broadcast(wanted)
         keys = texts.select("whole", F.lower("text").alias("text")).mapInArrow(_postings(shared), "doc_id long, is_tail boolean, key long")
         keys = self.stage.write(keys.withColumnRenamed("doc_id", "whole"), "bands")
