@@ -41,6 +41,8 @@ APART = re.compile("[\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 BANDS, ROWS, RUN = 16, 2, 3
 #: What this many different texts end with, more often than with other words or at other places, is no cut.
 REPEATED = 3
+#: Texts with one key that a task holds suspects against; keys with more that are broadcast.
+HOT, MANY = 4096, 100_000
 #: Word runs of a text that a copy has to contain.
 CONTAINED = 0.6
 SPIKE = 4.0
@@ -415,7 +417,13 @@ class Truncation:
         bands = keys.filter("not is_tail").select("whole", "key")
         own = bands.join(self.suspects.select("whole").distinct(), "whole", "left_semi").select("whole", "key", F.lit(False).alias("is_tail"))
         own = own.unionByName(tails.select("whole", "key", F.lit(True).alias("is_tail")))
-        pairs = own.join(keys.select(F.col("whole").alias("other"), "is_tail", "key"), ["is_tail", "key"]).filter("whole <> other").select("whole", "other").distinct()
+        # Keys that many texts have are cut into salts; a suspect of such a key goes to all of them.
+        hot = self.stage.write(keys.groupBy("is_tail", "key").agg(F.ceil(F.count("*") / HOT).alias("salts")).filter("salts > 1"), "hot")
+        few = hot.limit(MANY + 1).count() <= MANY
+        with_salts = lambda df: df.join(F.broadcast(hot) if few else hot, ["is_tail", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
+        others = with_salts(keys).select(F.col("whole").alias("other"), "is_tail", "key", F.pmod(F.xxhash64("whole"), F.col("salts")).alias("salt"))
+        each = with_salts(own).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+        pairs = each.join(others, ["is_tail", "key", "salt"]).filter("whole <> other").select("whole", "other").distinct()
         both = pairs.join(shown, "whole").join(texts.select(F.col("whole").alias("other"), F.col("text").alias("copy")), "other")
         told = both.select("whole", "text", "copy").mapInArrow(_align, "doc_id long, goes_on string").withColumnRenamed("doc_id", "whole")
         told = told.filter("goes_on is not null").distinct().join(self.suspects.select("doc_id", "whole").distinct(), "whole")

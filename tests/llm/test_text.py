@@ -143,3 +143,19 @@ def test_a_much_longer_copy_goes_on(spark):
     rows += [(k, "s", " ".join(rng.sample(words, 30)) + ".") for k in range(10, 40)]
     got = {r.doc_id: (r.inside, r.at_end) for r in Truncation(spark.createDataFrame(rows, "doc_id long, source string, text string"))._copies().collect()}
     assert got == {1: (True, False)}
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    """Keys that all texts have give the same alignments cut into salts, broadcast or joined."""
+    import lymphspark.llm.truncation as truncation
+
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, "s", " ".join(words[: 200 + k])) for k in range(12)] + [(50, "s", " ".join(words) + ".")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = lambda: sorted(map(tuple, Truncation(df)._copies().collect()))
+    plain = found()
+    assert {r[0] for r in plain} == set(range(12))
+    monkeypatch.setattr(truncation, "HOT", 3)
+    assert found() == plain
+    monkeypatch.setattr(truncation, "MANY", 0)
+    assert found() == plain
