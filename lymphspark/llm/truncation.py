@@ -41,8 +41,8 @@ APART = re.compile("[\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 BANDS, ROWS, RUN = 16, 2, 3
 #: What this many different texts end with, more often than with other words or at other places, is no cut.
 REPEATED = 3
-#: Texts with one key that a task holds suspects against; keys with more that are broadcast.
-HOT, MANY = 4096, 100_000
+#: The texts of a key are cut into a salt for so many of its suspects, SALTS at most; keys of several salts that are broadcast.
+HOT, SALTS, MANY = 16, 1024, 100_000
 #: Word runs of a text that a copy has to contain.
 CONTAINED = 0.6
 SPIKE = 4.0
@@ -417,8 +417,9 @@ class Truncation:
         bands = keys.filter("not is_tail").select("whole", "key")
         own = bands.join(self.suspects.select("whole").distinct(), "whole", "left_semi").select("whole", "key", F.lit(False).alias("is_tail"))
         own = own.unionByName(tails.select("whole", "key", F.lit(True).alias("is_tail")))
-        # Keys that many texts have are cut into salts; a suspect of such a key goes to all of them.
-        hot = self.stage.write(keys.groupBy("is_tail", "key").agg(F.ceil(F.count("*") / HOT).alias("salts")).filter("salts > 1"), "hot")
+        # The texts of keys that many suspects have are cut into salts; a suspect of such a key goes to all of them.
+        hot = own.groupBy("is_tail", "key").agg(F.least(F.ceil(F.count("*") / HOT), F.lit(SALTS)).alias("salts")).filter("salts > 1")
+        hot = self.stage.write(hot, "hot")
         few = hot.limit(MANY + 1).count() <= MANY
         with_salts = lambda df: df.join(F.broadcast(hot) if few else hot, ["is_tail", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
         others = with_salts(keys).select(F.col("whole").alias("other"), "is_tail", "key", F.pmod(F.xxhash64("whole"), F.col("salts")).alias("salt"))
