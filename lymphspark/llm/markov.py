@@ -9,6 +9,7 @@ of up to TILE sets in one task each, many at once as dense stacks; larger ones b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +119,10 @@ class MarkovClusters:
     lower row. An empty table gives empty results; texts of any length are taken whole.
     """
 
+    similar = Similarity(3, 5, carried=True)
+
     def __init__(self, texts: DataFrame, num: int = 3, den: int = 5, tile: int = TILE):
-        self.s = Similarity(num, den, paired=True)
+        self.s = replace(self.similar, num=num, den=den)
         self.sets = SimilarSets(texts, self.s, "markov", tile)
         self.stage = self.sets.stage
         blocked = self.sets.blocked()

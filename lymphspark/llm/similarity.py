@@ -9,6 +9,10 @@
 4. The components of these links hold every pair above the threshold. The sets of each component come together in tiles of
    bounded size, where surviving pairs are compared exactly on their sorted arrays.
 
+With ``carried``, a posting has single elements as keys and takes all elements of its set along, the least frequent first. Runs
+of a key are then split by the next element that two sets have in common, and again, as long as that leaves fewer pairs; so the
+pairs that are compared do not grow with the square of the rows. What the bitmaps let pass is checked on the elements.
+
 Equal sets are one node throughout. Results depend neither on partitioning nor on the frequency estimates, which only decide
 what is left out of the prefixes.
 """
@@ -41,6 +45,8 @@ PART, BLOCK, HELD = 1 << 20, 1 << 20, 1 << 20
 #: Runs of a key up to SMALL_RUN are compared pair by pair, larger ones as blocks of OUTER rows after up to STARS pivots (all
 #: of them in runs of HOT_RUN and more; a smaller run goes on with pivots only while they find near sets).
 SMALL_RUN, OUTER, STARS, HOT_RUN = 64, 128, 4, 4096
+#: Elements in common by which runs are split at most, and rows of a split that are held at a time.
+DEPTH, SPLIT = 6, 1 << 18
 #: Sets of a component that one task compares; larger components are cut into tiles of block pairs.
 TILE = 2048
 #: Bits of the hashed row filter (2 MB broadcast, whatever the input).
@@ -49,13 +55,15 @@ FILTER_BITS = 1 << 24
 
 @dataclass(frozen=True)
 class Similarity:
-    """Jaccard similarity of at least num/den. ``runs`` of words make one element; ``paired`` posts pairs of neighbours."""
+    """Jaccard similarity of at least num/den. ``runs`` of words make one element; ``paired`` posts pairs of neighbours;
+    ``carried`` postings take the elements of their sets along."""
 
     num: int
     den: int
     run: int = 1
     paired: bool = False
     other: str = r"[^\pL]+"
+    carried: bool = False
 
     def least_overlap(self, total: np.ndarray) -> np.ndarray:
         """Common elements that two sets with ``total`` elements together need."""
@@ -281,6 +289,21 @@ def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int])
                 r, key, extra, often = r[order], key[order], extra[order], often[order]
                 within = position_in_run(run_starts(r), len(r))
                 post = extra | (within < prefix_of(n)[r])
+                if s.carried:
+                    sizes = np.where(chosen, n, 0).astype(np.int64)
+                    lists = (rid, sizes, np.cumsum(sizes) - sizes, (key & _U(0xFFFF)).astype(np.uint16))
+                    r, key, often, within = r[post], key[post], often[post], within[post]
+                    for f in np.unique(field[chosen]).tolist():
+                        own = field[r] == f
+                        at = np.stack([r[own], within[own]], axis=1)
+                        place, _, _, at = _placed(f, np.arange(len(at)), key[own], often[own], rid[r[own]], n[r[own]], at, parts[f])
+                        held.setdefault(f, []).append((place, at, lists))
+                        size += len(place)
+                    if size >= HELD:
+                        for f, found in held.items():
+                            yield _carried_blobs(f, found)
+                        held, size = {}, 0
+                    continue
                 r, key, often = r[post], key[post], often[post]
                 for f in np.unique(field[chosen]).tolist():
                     own = field[r] == f
@@ -292,7 +315,7 @@ def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int])
                         yield _blobs(f, found)
                     held, size = {}, 0
         for f, found in held.items():
-            yield _blobs(f, found)
+            yield _carried_blobs(f, found) if s.carried else _blobs(f, found)
 
     return run
 
@@ -322,9 +345,214 @@ def _blobs(f: int, held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((f << 40) | part[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
+def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places first, first + 1 ... of each list, one list after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _carried_blobs(f: int, held: list[tuple]) -> pa.RecordBatch:
+    """As _blobs(); every blob has the sets of its postings once, as the codes of their elements in order of frequency."""
+    rows, codes = np.cumsum([0, *[len(x[0]) for _, _, x in held]]), np.cumsum([0, *[len(x[3]) for _, _, x in held]])
+    rid, n, first, code = (np.concatenate(c) for c in zip(*[(x[0], x[1], x[2] + start, x[3]) for (_, _, x), start in zip(held, codes)]))
+    place = np.concatenate([p for p, _, _ in held])
+    row, pos = np.concatenate([at + [start, 0] for (_, at, _), start in zip(held, rows)]).T
+    order = np.argsort(place, kind="stable")
+    place, row, pos = place[order], row[order], pos[order]
+    part, short = place >> 32, (place & 0xFFFFFFFF).astype(np.uint32)
+    cuts, blobs = np.append(run_starts(part), len(part)), []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own, at = np.unique(row[a:b], return_inverse=True)
+        blobs.append(pack_carried(short[a:b], at, pos[a:b], rid[own], n[own], code[_ragged(first[own], n[own])]))
+    return pa.RecordBatch.from_arrays([pa.array((f << 40) | part[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def pack_carried(key: np.ndarray, at: np.ndarray, pos: np.ndarray, rid: np.ndarray, n: np.ndarray, code: np.ndarray) -> bytes:
+    """Postings sorted by key, with the place of their set and that of the key in it; the sets with their codes."""
+    body = b"".join((_planes(np.diff(key, prepend=np.uint32(0))), _planes(at.astype(np.uint32)), _planes(pos.astype(np.uint32)), _planes(rid), _planes(n.astype(np.uint32)), _planes(code)))
+    return np.array([len(key), len(rid), len(code)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack_carried(blob: bytes) -> tuple[np.ndarray, ...]:
+    count, sets, codes = (int(x) for x in np.frombuffer(blob, np.int64, 3))
+    body, out = memoryview(zstandard.ZstdDecompressor().decompress(blob[24:])), []
+    for dtype, k in ((np.uint32, count), (np.uint32, count), (np.uint32, count), (np.int64, sets), (np.uint32, sets), (np.uint16, codes)):
+        out.append(_from_planes(body, dtype, k))
+        body = body[k * np.dtype(dtype).itemsize :]
+    key, at, pos, rid, n, code = out
+    return np.cumsum(key, dtype=np.uint32), at.astype(np.int64), pos.astype(np.int64), rid, n.astype(np.int64), code
+
+
 # ---------------------------------------------------------------- tiles
 
 
+class _Splits:
+    """Links between the sets of one part, from carried postings.
+
+    Two sets above the threshold with o elements in common have the k-th of these, in order of frequency, among the first
+    n - o + k of each. So the sets of a run that share k elements are split by each further one that stands there, and pairs
+    with no more than k in common (tiny sets only) are compared before. With the k-th at pos, a set has at most n - pos + k - 1
+    in common with another (``most``); if that is too few even for one of its own size it is not ``near``, and of every pair
+    the smaller set is. Codes may agree by chance: that lets more pairs be compared.
+    """
+
+    def __init__(self, s: Similarity, n: np.ndarray, first: np.ndarray, code: np.ndarray):
+        self.s, self.n, self.first, self.code = s, n, first, code
+        self.label = np.arange(len(n))
+        rows = np.repeat(self.label, n)
+        fewest = -(-s.num * n // s.den)
+        #: Last place (from 0) of the first common element, the smallest similar set, and what similar sets have in common.
+        self.last, self.fewest = n - fewest, fewest
+        self.need = s.least_overlap(np.arange(2 * int(n.max(initial=0)) + 1))
+        #: The fewest elements that the set can have in common with a similar one.
+        self.least = s.least_overlap(n + fewest)
+        self.sig = bitmaps(rows, code.astype(np.uint64), len(n), 4)
+        self.far = s.most_apart(np.arange(len(self.need)))
+        # Equal lists are one set.
+        line = mix((code.astype(np.uint64) << _U(32)) + position_in_run(first, len(code)).astype(np.uint64))
+        whole = np.add.reduceat(line, first) + mix(n.astype(np.uint64)) if len(n) else line
+        _, at, inverse = np.unique(whole, return_index=True, return_inverse=True)
+        self.same = at[inverse]
+        self.label = join(self.label, np.arange(len(n)), self.same)
+
+    def run(self, key: np.ndarray, at: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        at = self.same[at]
+        order = np.lexsort((at, key))
+        key, at, pos = key[order], at[order], pos[order]
+        own = run_starts(key, at)
+        self._split(key[own].astype(np.int64), at[own], pos[own], 1)
+        return self.label
+
+    def _split(self, group: np.ndarray, at: np.ndarray, pos: np.ndarray, k: int) -> None:
+        """Links the sets of every group; the sets of one have k elements in common, the k-th of which is at pos."""
+        if not len(group):
+            return
+        starts = run_starts(group)
+        sizes = np.diff(np.append(starts, len(group)))
+        label, n = self.label[at], self.n[at]
+        most = n - pos + k - 1
+        near = most >= self.need[2 * n]
+        open_ = (np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)) & np.logical_or.reduceat(near, starts)
+        small = np.repeat(open_ & (sizes <= SMALL_RUN), sizes)
+        self._compare(group[small], at[small], most[small])
+        large = np.flatnonzero(open_ & (sizes > SMALL_RUN))
+        if not len(large):
+            return
+        more = np.minimum(self.last[at] + k, n - 1) - pos
+        more = np.maximum(more, 0) if k < DEPTH else np.zeros(len(at), np.int64)
+        # Sets that have too few elements left for the smallest set of their group.
+        more[most < self.need[n + np.maximum(self.fewest[at], np.repeat(np.minimum.reduceat(n, starts), sizes))]] = 0
+        made = np.add.reduceat(more, starts)[large]
+        done = 0
+        while done < len(large):
+            upto = max(done + 1, done + int(np.searchsorted(np.cumsum(made[done:]), SPLIT, "right")))
+            own = _ragged(starts[large[done:upto]], sizes[large[done:upto]])
+            self._split_some(np.repeat(np.arange(upto - done), sizes[large[done:upto]]), at[own], pos[own], most[own], more[own], k)
+            done = upto
+
+    def _split_some(self, group: np.ndarray, at: np.ndarray, pos: np.ndarray, most: np.ndarray, more: np.ndarray, k: int) -> None:
+        # A group that is too large by itself is split by some of the codes at a time.
+        turns = max(1, -(-int(more.sum()) // (4 * SPLIT))) if group[-1] == 0 else 1
+        sizes = np.bincount(group)
+        cost = np.zeros(len(sizes))
+        for turn in range(turns):
+            head, which = self._next(at, pos, more, turn, turns, group)
+            count = np.diff(np.append(own := run_starts(head), len(head)))
+            cost += np.bincount(head[own] >> 16, count.astype(float) ** 2, len(sizes))
+        better = (cost + 4 * np.bincount(group, more, len(sizes)) < sizes.astype(float) ** 2) & (np.bincount(group, more, len(sizes)) > 0)
+        whole = ~better[group]
+        if whole.any():
+            self._compare(group[whole], at[whole], most[whole])
+        tiny_ = better[group] & (self.least[at] <= k)
+        self._compare(group[tiny_], at[tiny_], most[tiny_])
+        for turn in range(turns):
+            if turns > 1:
+                head, which = self._next(at, pos, more, turn, turns, group)
+            use = better[head >> 16]
+            item, place = which
+            self._split(head[use], at[item[use]], place[use], k + 1)
+
+    def _next(self, at, pos, more, turn: int, turns: int, group) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Group and code of each next element, sorted; of which item it is, and its place."""
+        heads, items, places = [], [], []
+        ends = np.cumsum(more)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2 * SPLIT, "right")))
+            item = np.repeat(np.arange(lo, hi), more[lo:hi])
+            place = _ragged(pos[lo:hi] + 1, more[lo:hi])
+            code = self.code[self.first[at[item]] + place].astype(np.int64)
+            if turns > 1:
+                use = code % turns == turn
+                item, place, code = item[use], place[use], code[use]
+            heads.append((group[item] << 16) | code)
+            items.append(item)
+            places.append(place)
+            lo = hi
+        head, item, place = (np.concatenate(x) for x in (heads, items, places))
+        order = np.argsort(head, kind="stable")
+        return head[order], (item[order], place[order])
+
+    def _compare(self, group: np.ndarray, at: np.ndarray, most: np.ndarray) -> None:
+        if not len(group):
+            return
+        near = most >= self.need[2 * self.n[at]]
+        order = np.lexsort((~near, group))
+        group, at, most, near = group[order], at[order], most[order], near[order]
+        starts = run_starts(group)
+        sizes = np.diff(np.append(starts, len(group)))
+        for a, k in zip(starts[sizes >= HOT_RUN].tolist(), sizes[sizes >= HOT_RUN].tolist()):
+            own = np.unique(at[a : a + k])
+            own = own[np.lexsort((self.sig[own, 0], self.n[own]))]
+            for i, j in _compare_block(self.n[own].astype(np.int32), [np.ascontiguousarray(self.sig[own, w]) for w in range(4)], self.far.astype(np.int32)):
+                self.label = join(self.label, own[i], own[j])
+        # Pairs of which neither end is near are none.
+        begin, pos = np.repeat(starts, sizes), position_in_run(starts, len(group))
+        partners = np.minimum(pos, np.repeat(np.add.reduceat(near.astype(np.int64), starts), sizes))
+        n, sig = self.n[at], self.sig[at]
+        for i, j in pairs_in_runs(np.where(np.repeat(sizes, sizes) < HOT_RUN, partners, 0), 1 << 17):
+            j = begin[i] + (i - 1 - j)
+            total = n[i] + n[j]
+            need = self.need[total]
+            ok = (most[i] >= need) & (most[j] >= need)
+            i, j = i[ok], j[ok]
+            least = self.far[total[ok]]
+            for w in range(4):
+                least = least - np.bitwise_count(sig[i, w] ^ sig[j, w])
+                ok = least >= 0
+                i, j, least = i[ok], j[ok], least[ok]
+            self._join(at[i], at[j])
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links the pairs whose codes reach the threshold; of pairs that others link, few are looked at."""
+        for turn in range(8):
+            apart = self.label[a] != self.label[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                return
+            if not turn:
+                pair = np.unique(np.maximum(a, b) * len(self.n) + np.minimum(a, b))
+                a, b = pair // len(self.n), pair % len(self.n)
+            now = np.zeros(len(a), bool)
+            now[run_starts(a) if turn < 7 else slice(None)] = True
+            x, y = a[now], b[now]
+            for lo in range(0, len(x), 1 << 15):
+                i, j = x[lo : lo + (1 << 15)], y[lo : lo + (1 << 15)]
+                good = self._overlap(i, j) >= self.s.least_overlap(self.n[i] + self.n[j])
+                self.label = join(self.label, i[good], j[good])
+            a, b = a[~now], b[~now]
+
+    def _overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many codes of the smaller set the larger one has: no fewer than the elements they have in common."""
+        less = self.n[a] <= self.n[b]
+        a, b = np.where(less, a, b), np.where(less, b, a)
+        own, inverse = np.unique(b, return_inverse=True)
+        there = np.sort((np.repeat(np.arange(len(own)), self.n[own]) << 16) | self.code[_ragged(self.first[own], self.n[own])])
+        wanted = (np.repeat(inverse, self.n[a]) << 16) | self.code[_ragged(self.first[a], self.n[a])]
+        hit = there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted
+        return np.bincount(np.repeat(np.arange(len(a)), self.n[a]), hit, len(a)).astype(np.int64)
+
+
 def _compare_runs(key: np.ndarray, n: np.ndarray, sig: np.ndarray, s: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (as indices) with one key whose bitmaps do not rule the threshold out; of connected ones perhaps not all.
 
@@ -394,6 +622,14 @@ def _across(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, sig: list[np.ndar
 def _tiles(s: Similarity) -> Callable:
     """Reads blobs sorted by part and gives, for each partition, a spanning forest of the links found in its parts."""
 
+    def carried_links(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [unpack_carried(b) for b in blobs]
+        sets = np.cumsum([0, *[len(x[3]) for x in found]])
+        key, at, pos, rid, n, code = (np.concatenate(c) for c in zip(*[(x[0], x[1] + start, *x[2:]) for x, start in zip(found, sets)]))
+        label = _Splits(s, n, np.cumsum(n) - n, code).run(key, at, pos)
+        linked = label != np.arange(len(label))
+        return rid[linked], rid[label[linked]]
+
     def part_links(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         key, rid, n, sig = (np.concatenate(x) for x in zip(*map(unpack, blobs)))
         order = np.lexsort((sig[:, 0], (key.astype(np.int64) << 16) | np.minimum(n, 65535)))
@@ -421,7 +657,7 @@ def _tiles(s: Similarity) -> Callable:
         def close(last: bool):
             nonlocal held, size
             if blobs:
-                a, b = part_links(blobs)
+                a, b = (carried_links if s.carried else part_links)(blobs)
                 held.append((a, b))
                 size += len(a)
             blobs.clear()

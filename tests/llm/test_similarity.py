@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lymphspark.llm import similarity
 from lymphspark.llm.components import connected_components
 from lymphspark.llm.markov import MarkovClusters, block_products, cluster_groups, markov_distributed
 from lymphspark.llm.near_duplicates import NearDuplicates
@@ -236,6 +237,61 @@ def test_least_row_of_equal_sets_is_posted():
     assert posted == {3, 2}
 
 
+def test_pairs_compared_grow_less_than_with_the_square(monkeypatch):
+    """p4: four times the texts of one vocabulary have sixteen times the pairs, most of which are never compared."""
+
+    def compared(rows: int) -> int:
+        rng, count = np.random.default_rng(3), 0
+        weights = 1 / np.arange(3, 1503)
+        elements = [np.sort(rng.choice(1500, 20, False, weights / weights.sum())).tolist() for _ in range(rows)]
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * rows, pa.int32()), pa.array(range(rows)), pa.array(range(rows)), pa.array([20] * rows, pa.int32()), pa.array(elements, pa.list_(pa.int64()))], names=["field", "rid", "node", "n", "elements"])
+        known = np.zeros(similarity.BUCKETS, np.int64)
+        pairs, near = similarity.pairs_in_runs, similarity._near
+
+        def counted(pos, *most):
+            nonlocal count
+            count += int(pos.sum())
+            return pairs(pos, *most)
+
+        def counted_near(rows, cols, *rest):
+            nonlocal count
+            count += len(rows) * len(cols)
+            return near(rows, cols, *rest)
+
+        with monkeypatch.context() as m:
+            m.setattr(similarity, "pairs_in_runs", counted)
+            m.setattr(similarity, "_near", counted_near)
+            s = MarkovClusters.similar
+            for told in similarity._counter(s)(iter([batch])):
+                known[told.column(0).to_numpy()] = told.column(1).to_numpy()
+            blobs = pa.Table.from_batches(similarity._poster(s, SimpleNamespace(value=known), {0: 1}, {0: 2})(iter([batch])))
+            list(similarity._tiles(s)(iter(blobs.combine_chunks().to_batches())))
+        return count
+
+    few, many = compared(4000), compared(16000)
+    assert few and many < 10 * few
+
+
+@pytest.mark.parametrize("small", [2, 64])
+def test_carried_postings_equal_brute_force(spark, monkeypatch, small):
+    """Runs of any size are split as far as they can be; sets of few elements too."""
+    monkeypatch.setattr(similarity, "SMALL_RUN", small)
+    monkeypatch.setattr(similarity, "SPLIT", 64)
+    rng = random.Random(small)
+    sets = [sorted(rng.sample(range(14), rng.randint(1, 9))) for _ in range(700)]
+    n = len(sets)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(range(n)), pa.array([hash(tuple(x)) for x in sets]), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["field", "rid", "node", "n", "elements"])
+    s = MarkovClusters.similar
+    run = _poster(s, SimpleNamespace(value=np.zeros(BUCKETS, np.int64)), {0: 1}, {0: 2})
+    blobs = [b for out in run(iter([batch])) for b in out.column(1).to_pylist()]
+    key, at, pos, rid, size, code = similarity.unpack_carried(blobs[0])
+    label = similarity._Splits(s, size, np.cumsum(size) - size, code).run(key, at, pos)
+    own = [set(sets[r]) for r in rid.tolist()]
+    links = [(a, b) for a in range(len(own)) for b in range(a) if 5 * len(own[a] & own[b]) >= 3 * len(own[a] | own[b])]
+    want = components(links, range(len(own)))
+    assert [want[k] for k in range(len(own))] == label.tolist()
+
+
 def test_result_does_not_depend_on_partitions(spark):
     rows = made_texts(11, 20, 6, 20, 4, 30)
     one = MarkovClusters(spark.createDataFrame(rows, SCHEMA).coalesce(1)).rows().collect()
