@@ -42,6 +42,9 @@ BUCKETS = 1 << 17
 #: Elements behind one tile part; postings of one key beyond which these are cut into tiles of block pairs; postings that a
 #: task holds before it packs them by part.
 PART, BLOCK, HELD = 1 << 20, 1 << 20, 1 << 20
+#: Codes of carried sets that a tile part holds at a time, whatever its keys have; codes that are turned into wider numbers at a
+#: time; bytes of blobs that travel together.
+CODES, WIDE, SENT = 1 << 25, 1 << 20, 1 << 22
 #: Runs of a key up to SMALL_RUN are compared pair by pair, larger ones as blocks of OUTER rows after up to STARS pivots (all
 #: of them in runs of HOT_RUN and more; a smaller run goes on with pivots only while they find near sets).
 SMALL_RUN, OUTER, STARS, HOT_RUN = 64, 128, 4, 4096
@@ -253,8 +256,13 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.cumsum(step, dtype=np.uint32), rid, n.astype(np.int64), np.frombuffer(body, np.uint64, count * words, offset=16 * count).reshape(count, words)
 
 
-def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int]) -> Callable:
-    prefixes = np.zeros(0, np.int64)
+def block_rows(s: Similarity, mean: float) -> int:
+    """Postings of one key beyond which these are cut into blocks, by the field's mean set: carried ones are as large as their sets."""
+    return max(1, min(BLOCK, int(2 * CODES / max(mean, 1)))) if s.carried else BLOCK
+
+
+def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int], block: dict[int, int] | None = None) -> Callable:
+    prefixes, block = np.zeros(0, np.int64), block or {}
 
     def prefix_of(n: np.ndarray) -> np.ndarray:
         nonlocal prefixes
@@ -296,18 +304,18 @@ def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int])
                     for f in np.unique(field[chosen]).tolist():
                         own = field[r] == f
                         at = np.stack([r[own], within[own]], axis=1)
-                        place, _, _, at = _placed(f, np.arange(len(at)), key[own], often[own], rid[r[own]], n[r[own]], at, parts[f])
+                        place, _, _, at = _placed(f, np.arange(len(at)), key[own], often[own], rid[r[own]], n[r[own]], at, parts[f], block.get(f, BLOCK))
                         held.setdefault(f, []).append((place, at, lists))
                         size += len(place)
                     if size >= HELD:
                         for f, found in held.items():
-                            yield _carried_blobs(f, found)
+                            yield from _carried_blobs(f, found)
                         held, size = {}, 0
                     continue
                 r, key, often = r[post], key[post], often[post]
                 for f in np.unique(field[chosen]).tolist():
                     own = field[r] == f
-                    made = _placed(f, r[own], key[own], often[own], rid, n, bitmaps(rows, h, len(n), words[f]), parts[f])
+                    made = _placed(f, r[own], key[own], often[own], rid, n, bitmaps(rows, h, len(n), words[f]), parts[f], block.get(f, BLOCK))
                     held.setdefault(f, []).append(made)
                     size += len(made[0])
                 if size >= HELD:
@@ -315,15 +323,15 @@ def _poster(s: Similarity, known, parts: dict[int, int], words: dict[int, int])
                         yield _blobs(f, found)
                     held, size = {}, 0
         for f, found in held.items():
-            yield _carried_blobs(f, found) if s.carried else _blobs(f, found)
+            yield from _carried_blobs(f, found) if s.carried else [_blobs(f, found)]
 
     return run
 
 
-def _placed(f: int, r, key, often, rid, n, sig, parts: int) -> tuple:
+def _placed(f: int, r, key, often, rid, n, sig, parts: int, block: int = BLOCK) -> tuple:
     """Part and short key of each posting in one number, and what it carries: row, size, bitmap."""
     key = mix(key ^ _U(f + 1))
-    blocks = np.maximum(1, -(-often // BLOCK))
+    blocks = np.maximum(1, -(-often // block))
     if (blocks > 1).any():
         # A key with too many postings is cut into blocks by row, and its postings go to the tiles of all block pairs.
         at = np.repeat(np.arange(len(r)), blocks)
@@ -351,8 +359,8 @@ def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _carried_blobs(f: int, held: list[tuple]) -> pa.RecordBatch:
-    """As _blobs(); every blob has the sets of its postings once, as the codes of their elements in order of frequency."""
+def _carried_blobs(f: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """As _blobs(), some at a time; every blob has the sets of its postings once, as the codes of their elements in order of frequency."""
     rows, codes = np.cumsum([0, *[len(x[0]) for _, _, x in held]]), np.cumsum([0, *[len(x[3]) for _, _, x in held]])
     rid, n, first, code = (np.concatenate(c) for c in zip(*[(x[0], x[1], x[2] + start, x[3]) for (_, _, x), start in zip(held, codes)]))
     place = np.concatenate([p for p, _, _ in held])
@@ -360,27 +368,66 @@ def _carried_blobs(f: int, held: list[tuple]) -> pa.RecordBatch:
     order = np.argsort(place, kind="stable")
     place, row, pos = place[order], row[order], pos[order]
     part, short = place >> 32, (place & 0xFFFFFFFF).astype(np.uint32)
-    cuts, blobs = np.append(run_starts(part), len(part)), []
+    cuts, parts, blobs, size = np.append(run_starts(part), len(part)), [], [], 0
     for a, b in zip(cuts[:-1], cuts[1:]):
         own, at = np.unique(row[a:b], return_inverse=True)
         blobs.append(pack_carried(short[a:b], at, pos[a:b], rid[own], n[own], code[_ragged(first[own], n[own])]))
-    return pa.RecordBatch.from_arrays([pa.array((f << 40) | part[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+        parts.append((f << 40) | int(part[a]))
+        size += len(blobs[-1])
+        if size >= SENT or b == len(part):
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+            parts, blobs, size = [], [], 0
 
 
 def pack_carried(key: np.ndarray, at: np.ndarray, pos: np.ndarray, rid: np.ndarray, n: np.ndarray, code: np.ndarray) -> bytes:
-    """Postings sorted by key, with the place of their set and that of the key in it; the sets with their codes."""
-    body = b"".join((_planes(np.diff(key, prepend=np.uint32(0))), _planes(at.astype(np.uint32)), _planes(pos.astype(np.uint32)), _planes(rid), _planes(n.astype(np.uint32)), _planes(code)))
-    return np.array([len(key), len(rid), len(code)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
+    """Postings sorted by key, with the place of their set and that of the key in it; the sets, and apart from these their codes."""
+    small = zstandard.ZstdCompressor(level=1).compress
+    head = small(b"".join((_planes(np.diff(key, prepend=np.uint32(0))), _planes(at.astype(np.uint32)), _planes(pos.astype(np.uint32)), _planes(rid), _planes(n.astype(np.uint32)))))
+    return np.array([len(key), len(rid), len(code), len(head)], np.int64).tobytes() + head + small(_planes(code))
 
 
-def unpack_carried(blob: bytes) -> tuple[np.ndarray, ...]:
-    count, sets, codes = (int(x) for x in np.frombuffer(blob, np.int64, 3))
-    body, out = memoryview(zstandard.ZstdDecompressor().decompress(blob[24:])), []
-    for dtype, k in ((np.uint32, count), (np.uint32, count), (np.uint32, count), (np.int64, sets), (np.uint32, sets), (np.uint16, codes)):
+def _carried_head(blob: bytes) -> tuple[np.ndarray, ...]:
+    """All of a blob but its codes."""
+    count, sets, _, size = (int(x) for x in np.frombuffer(blob, np.int64, 4))
+    body, out = memoryview(zstandard.ZstdDecompressor().decompress(memoryview(blob)[32 : 32 + size])), []
+    for dtype, k in ((np.uint32, count), (np.uint32, count), (np.uint32, count), (np.int64, sets), (np.uint32, sets)):
         out.append(_from_planes(body, dtype, k))
         body = body[k * np.dtype(dtype).itemsize :]
-    key, at, pos, rid, n, code = out
-    return np.cumsum(key, dtype=np.uint32), at.astype(np.int64), pos.astype(np.int64), rid, n.astype(np.int64), code
+    key, at, pos, rid, n = out
+    return np.cumsum(key, dtype=np.uint32), at.astype(np.int64), pos.astype(np.int64), rid, n.astype(np.int64)
+
+
+def unpack_carried(blob: bytes, keys: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """What pack_carried() was given; with ``keys`` only their postings and the sets of these."""
+    codes, size = (int(x) for x in np.frombuffer(blob, np.int64, 4)[2:])
+    key, at, pos, rid, n = _carried_head(blob)
+    use = slice(None) if keys is None else np.isin(key, keys)
+    if not len(key[use]):
+        return key[:0], at[:0], pos[:0], rid[:0], n[:0], np.zeros(0, np.uint16)
+    code = _from_planes(memoryview(zstandard.ZstdDecompressor().decompress(memoryview(blob)[32 + size :])), np.uint16, codes)
+    if keys is None:
+        return key, at, pos, rid, n, code
+    own, at = np.unique(at[use], return_inverse=True)
+    return key[use], at, pos[use], rid[own], n[own], code[_ragged((np.cumsum(n) - n)[own], n[own])]
+
+
+def key_groups(blobs: list[bytes]) -> list[np.ndarray | None]:
+    """The keys of a part in groups of up to CODES carried codes, a key with more being alone; [None] if that is one group."""
+    found = []
+    for blob in blobs:
+        key, at, _, _, n = _carried_head(blob)
+        starts = run_starts(key)
+        found.append((key[starts], np.add.reduceat(n[at], starts) if len(key) else n[:0]))
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    ends = np.cumsum(np.bincount(at, np.concatenate([w for _, w in found]), len(keys)))
+    if not len(keys) or ends[-1] <= CODES:
+        return [None]
+    groups, lo = [], 0
+    while lo < len(keys):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CODES, "right")))
+        groups.append(keys[lo:hi])
+        lo = hi
+    return groups
 
 
 # ---------------------------------------------------------------- tiles
@@ -399,18 +446,23 @@ class _Splits:
     def __init__(self, s: Similarity, n: np.ndarray, first: np.ndarray, code: np.ndarray):
         self.s, self.n, self.first, self.code = s, n, first, code
         self.label = np.arange(len(n))
-        rows = np.repeat(self.label, n)
         fewest = -(-s.num * n // s.den)
         #: Last place (from 0) of the first common element, the smallest similar set, and what similar sets have in common.
         self.last, self.fewest = n - fewest, fewest
         self.need = s.least_overlap(np.arange(2 * int(n.max(initial=0)) + 1))
         #: The fewest elements that the set can have in common with a similar one.
         self.least = s.least_overlap(n + fewest)
-        self.sig = bitmaps(rows, code.astype(np.uint64), len(n), 4)
         self.far = s.most_apart(np.arange(len(self.need)))
         # Equal lists are one set.
-        line = mix((code.astype(np.uint64) << _U(32)) + position_in_run(first, len(code)).astype(np.uint64))
-        whole = np.add.reduceat(line, first) + mix(n.astype(np.uint64)) if len(n) else line
+        self.sig, whole = np.zeros((len(n), 4), np.uint64), np.zeros(len(n), np.uint64)
+        ends, lo = np.cumsum(n), 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + WIDE, "right")))
+            start, wide = first[lo:hi] - first[lo], code[first[lo] : ends[hi - 1]].astype(np.uint64)
+            self.sig[lo:hi] = bitmaps(np.repeat(np.arange(hi - lo), n[lo:hi]), wide, hi - lo, 4)
+            line = mix((wide << _U(32)) + position_in_run(start, len(wide)).astype(np.uint64))
+            whole[lo:hi] = np.add.reduceat(line, start) + mix(n[lo:hi].astype(np.uint64))
+            lo = hi
         _, at, inverse = np.unique(whole, return_index=True, return_inverse=True)
         self.same = at[inverse]
         self.label = join(self.label, np.arange(len(n)), self.same)
@@ -622,13 +674,16 @@ def _across(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, sig: list[np.ndar
 def _tiles(s: Similarity) -> Callable:
     """Reads blobs sorted by part and gives, for each partition, a spanning forest of the links found in its parts."""
 
-    def carried_links(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [unpack_carried(b) for b in blobs]
-        sets = np.cumsum([0, *[len(x[3]) for x in found]])
-        key, at, pos, rid, n, code = (np.concatenate(c) for c in zip(*[(x[0], x[1] + start, *x[2:]) for x, start in zip(found, sets)]))
-        label = _Splits(s, n, np.cumsum(n) - n, code).run(key, at, pos)
-        linked = label != np.arange(len(label))
-        return rid[linked], rid[label[linked]]
+    def carried_links(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for keys in key_groups(blobs):
+            found = [x for b in blobs if len((x := unpack_carried(b, keys))[0])]
+            sets = np.cumsum([0, *[len(x[3]) for x in found]])
+            key, at, pos, rid, n = (np.concatenate(c) for c in zip(*[(x[0], x[1] + start, *x[2:5]) for x, start in zip(found, sets)]))
+            code = np.concatenate([x[5] for x in found])
+            del found
+            label = _Splits(s, n, np.cumsum(n) - n, code).run(key, at, pos)
+            linked = label != np.arange(len(label))
+            yield rid[linked], rid[label[linked]]
 
     def part_links(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         key, rid, n, sig = (np.concatenate(x) for x in zip(*map(unpack, blobs)))
@@ -657,11 +712,11 @@ def _tiles(s: Similarity) -> Callable:
         def close(last: bool):
             nonlocal held, size
             if blobs:
-                a, b = (carried_links if s.carried else part_links)(blobs)
-                held.append((a, b))
-                size += len(a)
+                for a, b in carried_links(blobs) if s.carried else [part_links(blobs)]:
+                    held.append((a, b))
+                    size += len(a)
             blobs.clear()
-            if size and (last or size > 1 << 22):
+            if size and (last or size > 1 << 20):
                 nodes, roots = forest(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
                 held, size = [], 0
                 return pa.RecordBatch.from_arrays([pa.array(nodes[nodes != roots]), pa.array(roots[nodes != roots])], names=["a", "b"])
@@ -673,7 +728,7 @@ def _tiles(s: Similarity) -> Callable:
                     if (out := close(False)) is not None:
                         yield out
                     now = part
-                blobs.append(blob.as_py())
+                blobs.append(blob.as_buffer())
         if (out := close(True)) is not None:
             yield out
 
@@ -718,8 +773,9 @@ class SimilarSets:
         means = self.sets.groupBy("field").agg(F.avg("n").alias("mean"), F.sum("n").alias("total")).collect()
         parts = {r.field: max(spark.sparkContext.defaultParallelism, ceil(r.total / PART)) for r in means}
         words = {r.field: bitmap_words(r.mean or 0) for r in means}
+        block = {r.field: block_rows(s, r.mean or 0) for r in means}
         known = spark.sparkContext.broadcast(estimate(self.sets, s))
-        blobs = self.sets.select("field", "rid", "node", "n", "elements").mapInArrow(_poster(s, known, parts, words), "part long, blob binary")
+        blobs = self.sets.select("field", "rid", "node", "n", "elements").mapInArrow(_poster(s, known, parts, words, block), "part long, blob binary")
         spread = blobs.repartition(max(sum(parts.values()), 1), "part").sortWithinPartitions("part")
         return spread.mapInArrow(_tiles(s), "a long, b long")
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 from types import SimpleNamespace
 
@@ -292,6 +293,29 @@ def test_carried_postings_equal_brute_force(spark, monkeypatch, small):
     assert [want[k] for k in range(len(own))] == label.tolist()
 
 
+def test_a_part_of_any_size_is_held_by_some_keys_at_a_time(monkeypatch):
+    """p4: the links are those of the whole part, and memory follows CODES and WIDE, not the codes of the part."""
+    for name, value in (("CODES", 1 << 19), ("WIDE", 1 << 16), ("SENT", 1 << 12)):
+        monkeypatch.setattr(similarity, name, value, raising=False)
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(40 * k, 40 * k + 40), 30)) for k in range(20) for _ in range(20)]
+    copies = sets * 100
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(copies), pa.int32()), pa.array(range(len(copies))), pa.array(range(len(copies))), pa.array([30] * len(copies), pa.int32()), pa.array(copies, pa.list_(pa.int64()))], names=["field", "rid", "node", "n", "elements"])
+    s = MarkovClusters.similar
+    blobs = pa.Table.from_batches(_poster(s, SimpleNamespace(value=np.zeros(BUCKETS, np.int64)), {0: 1}, {0: 2})(iter([batch]))).combine_chunks().to_batches()
+    tracemalloc.start()
+    try:
+        found = [x for out in similarity._tiles(s)(iter(blobs)) for x in zip(*(c.to_pylist() for c in out.columns))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = components(found, range(len(copies)))
+    own = [set(x) for x in sets]
+    want = components([(a, b) for a in range(len(own)) for b in range(a) if 5 * len(own[a] & own[b]) >= 3 * len(own[a] | own[b])], range(len(own)))
+    assert [want[k % len(sets)] for k in range(len(copies))] == [got[k] for k in range(len(copies))]
+    assert peak < 60 << 20, peak
+
+
 def test_result_does_not_depend_on_partitions(spark):
     rows = made_texts(11, 20, 6, 20, 4, 30)
     one = MarkovClusters(spark.createDataFrame(rows, SCHEMA).coalesce(1)).rows().collect()
