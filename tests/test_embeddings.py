@@ -1,12 +1,16 @@
 import random
+import threading
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lymphspark.functions.words import remove_stop_words
+from lymphspark.operators import embeddings
 from lymphspark.operators.embeddings import Model, TrainParams, _Outputs, huffman, join_phrases, learn, neighbours, train
 from lymphspark.operators.representations import NGrams, ParagraphVectors, SubwordVectors, TrainedSubwordVectors, TrainedWordVectors, WordVectors, make
+from lymphspark.queries import plans
 from lymphspark.sources.files import read_word_vectors
 
 TOPICS = [["river", "harbour", "bridge", "ferry", "water"], ["market", "price", "budget", "trade", "money"]]
@@ -148,3 +152,27 @@ def test_empty_tables_and_limits(spark):
     with pytest.raises(ValueError):
         train(spark.createDataFrame([(1, ["a", "b"])], "row_id long, tokens array<string>"), TrainParams(size=40_000_000), 1)
     assert make("fasttext", size=3).names == ["0", "1", "2"] and make("doc2vec", size=2).names == ["0", "1"]
+
+
+def test_rows_are_added_as_numpy_adds_them():
+    rng = np.random.default_rng(4)
+    at, change, to = rng.integers(0, 9, 300), rng.normal(size=(300, 8)).astype(np.float32), rng.normal(size=(9, 8)).astype(np.float32)
+    want = to.copy()
+    np.add.at(want, at, change)
+    embeddings._add(to, at, change)
+    assert (to == want).all()
+
+
+def test_training_losses_are_learned_side_by_side(spark, texts, monkeypatch):
+    """Every way waits for all others: one after the other they would never get on."""
+    met = threading.Barrier(5, timeout=20)
+
+    def fit(self, df, *tokens):
+        met.wait()
+        return SimpleNamespace(losses=[float(self.params.size)])
+
+    for kind in (TrainedWordVectors, TrainedSubwordVectors, ParagraphVectors):
+        monkeypatch.setattr(kind, "fit", fit)
+    monkeypatch.setattr(plans, "_headlines", lambda spark, folder: texts)
+    rows = plans.training_losses(spark, "").collect()
+    assert [r.algorithm for r in rows] == ["cbow, negative samples", "skip-gram, tree", "subwords, tree", "pv-dbow", "pv-dm"] and {r.loss for r in rows} == {8.0}
