@@ -281,3 +281,27 @@ def test_few_targets_are_found_as_many_are(spark, metric, monkeypatch):
     assert vectors.nearest(queries, targets.limit(0), metric, 5).collect() == []
     monkeypatch.setattr(vectors, "SMALL", 10)
     assert few == sorted(vectors.nearest(queries, targets, metric, 5).collect()) and len(few) == 450
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_measures_pair_no_copies(spark, monkeypatch, metric):
+    """Copies weigh what they are, also those of the zero vector, and no pair of them is made."""
+    base = [(0, [0.0, 0.0]), (0, [1.0, 0.5]), (1, [0.2, 0.9]), (1, [0.0, 0.0]), (1, [0.7, 0.1]), (2, [0.4, 0.4])]
+    rows = [(10 * k + c, v, label) for k, (label, v) in enumerate(base) for c in range(k % 3 + 1)]
+    x, label = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    norms = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) if metric == "euclidean" else np.where(norms > 0, 1 - x @ x.T / np.where(norms > 0, norms, 1), 1.0)
+    np.fill_diagonal(d, 0)
+    seen, blocks = [], metrics.over_blocks
+    monkeypatch.setattr(metrics, "over_blocks", lambda a, *rest: seen.append(a.count()) or blocks(a, *rest))
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    for r in metrics.cluster_links(df, metric).collect():
+        cell = d[np.ix_(label == r.ci, label == r.cj)]
+        assert r.n == cell.size and (r.sum_d, r.min_d, r.max_d) == pytest.approx((cell.sum(), cell.min(), cell.max()), abs=1e-7)
+    widths = []
+    for k in range(len(rows)):
+        own = (label == label[k]).sum() - 1
+        a, b = d[k][label == label[k]].sum() / max(own, 1), min(d[k][label == o].mean() for o in set(label.tolist()) - {int(label[k])})
+        widths.append((b - a) / max(a, b) if own and max(a, b) > 0 else 0.0)
+    assert metrics.silhouette(df, metric).head()[0] == pytest.approx(np.mean(widths), abs=1e-7)
+    assert seen == [len(base)] * 2
